@@ -45,7 +45,7 @@ def complete(body: Column, last: Column) -> Column:
 
 
 def ending(text: Column) -> Column:
-    """`none` (no text), `closed`, `trailing` (an ellipsis after a whole sentence), `line` (a kind that needs no full stop), `mark` (a mark for lost text), `open`."""
+    """`none` (no text), `closed`, `trailing` (an ellipsis after a whole sentence), `line` (a kind that needs no full stop), `item` (a long list item, undecided), `mark` (a mark for lost text), `open`."""
     e = line_ends(text)
     body, last = e["_body"], e["_last"]
     unmarked = F.regexp_replace(body, LOST_MARK, "")
@@ -59,6 +59,7 @@ def ending(text: Column) -> Column:
         .when(body.rlike(LOST_MARK), "mark")
         .when(body.rlike(CLOSED), "closed")
         .when(complete(body, last), "line")
+        .when(last.rlike(LIST_ITEM) & last.rlike(r"[\p{L}\p{N}]$") & text.rlike(r"[\p{L}\p{N}]$"), "item")
         .otherwise("open")
     )
 
@@ -90,7 +91,12 @@ def flagged(df: DataFrame, rec_id: Column, text: Column, source: Column) -> Data
     any text whose end is open or marked as lost.  At a limit only ends that can't be cut short by chance count as a complete
     line: whole paths and closed code fences.
     """
-    base = df.select(rec_id.alias("rec_id"), source.cast("string").alias("source"), F.length(text).alias("n_chars"), F.octet_length(text).alias("n_bytes"), ending(text).alias("ending"), F.coalesce(sure(text), F.lit(False)).alias("_sure"))
+    base = df.select(rec_id.alias("rec_id"), source.cast("string").alias("source"), F.length(text).alias("n_chars"), F.octet_length(text).alias("n_bytes"), ending(text).alias("ending"), F.coalesce(sure(text), F.lit(False)).alias("_sure"), F.regexp_extract(text, r"([\p{L}\p{N}]+)$", 1).alias("_word"))
+    # A long item without a full stop is complete if texts of this collection end sentences or lines with its last word.
+    doubt = df.select(F.regexp_extract(text, r"([\p{L}\p{N}]+)$", 1).alias("word"), ending(text).alias("e")).where("e = 'item'").select("word").distinct()
+    ends = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, r"\s+$", ""), F.lit(r"([\p{L}\p{N}]+)(?:[.!?]|[\r\n])"), F.lit(1)))).alias("word"))
+    final = ends.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2").join(doubt, "word", "left_semi").select("word", F.lit(True).alias("_final"))
+    base = base.join(final, F.col("word") == F.col("_word"), "left").withColumn("ending", F.when(F.col("ending") == "item", F.when(F.col("_final"), "line").otherwise("open")).otherwise(F.col("ending")))
     found = spikes(base, "source", ["n_chars", "n_bytes"])
     # One row per source: its limits, at most five lengths a unit.
     limits = found.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "n_chars", F.col("spike"))).alias("c"), F.collect_set(F.when(F.col("unit") == "n_bytes", F.col("spike"))).alias("b"))

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import hierarchy_queries
+from . import graph_queries, hierarchy_queries, scalar_queries
 
 FLAGSHIP = "p4_found"
 
 
 def queries() -> dict:
-    return hierarchy_queries.queries()
+    out = dict(hierarchy_queries.queries())
+    for m in (scalar_queries, graph_queries):
+        out |= m.R.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for m in (scalar_queries, graph_queries):
+        out |= m.R.sql
+    return out

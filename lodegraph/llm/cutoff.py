@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
+
 #: Marks that stand for lost text, closing punctuation, sign-offs and closing notes that need none.
 LOST_MARK = r"(?:\[\s*(?:truncated|cut|snip|more|\.\.\.|…)\s*\]|\((?:truncated|cut off|continued)\)|<truncated>|…|\.{3,})\s*$"
 CLOSED = r"[.!?。！？؟][\"'”’»)\]*_`]*\s*$"
@@ -27,49 +29,47 @@ ASIDE = r"(?:^|\s)(?:More (?:later|soon|to come|tomorrow|below)|We(?:'ll| shall|
 DANGLING = r"(?i)(?:^|\s)(?:the|a|an|and|or|of|to|in|on|at|by|for|with|from|that|this|if|so|why|is|der|die|das|und|oder|ein|eine|einer|mit|von|im|am|zum|zur|für|bei|el|la|los|las|un|una|y|o|de|del|con|para|por|le|les|du|des|une|et|ou|pour|avec|dans|sur)$"
 
 
-def line_ends(text: Column) -> dict[str, Column]:
-    """The last line that isn't blank, the text without its outer space, and the count of code fences."""
-    body = F.regexp_replace(text, r"\s+$", "")
-    return {"_body": body, "_last": F.regexp_extract(body, r"([^\r\n]*)$", 1)}
+SPACE = " \t\r\n\f\v\u00a0"
+
 
+def ends(df: DataFrame, text: Column) -> DataFrame:
+    """The frame with what the ending of a text is judged by: `_body` (without outer space at its end), `_last` (its last line), `_tail` (its last 60
+    characters), `_odd` (a code fence is open) and `_word` (the word that ends the raw text, empty if none does).
+
+    All are cut from the end by plain string functions; patterns only see a line or a tail, never a whole text.
+    """
+    x = df.withColumn("_body", F.rtrim(text, F.lit(SPACE)))
+    x = x.withColumn("_last", F.substring_index(F.substring_index("_body", "\n", -1), "\r", -1)).withColumn("_tail", F.right("_body", F.lit(60)))
+    x = x.withColumn("_odd", ((F.length("_body") - F.length(F.replace("_body", F.lit("```"), F.lit("")))) / 3) % 2 == 1)
+    return x.withColumn("_word", F.regexp_extract(F.right(text, F.lit(60)), r"(?<![\p{L}\p{N}])([\p{L}\p{N}]++)$", 1))
 
-def complete(body: Column, last: Column) -> Column:
+
+def complete(last: Column, odd: Column) -> Column:
     """True where the last line ends as its kind may end."""
-    fences = (F.length(body) - F.length(F.replace(body, F.lit("```"), F.lit("")))) / 3
     item = F.regexp_replace(last, LIST_PREFIX, "")
-    # An item is complete if short and not a sentence that was under way: sentences open with a capital and run on.
+    # A short item that is no sentence under way: sentences open with a capital and run on.
     item_done = last.rlike(LIST_ITEM) & (F.size(F.split(F.trim(item), r"\s+")) <= 6) & ~item.rlike(r"^\p{Lu}\S*\s+\S") & ~item.rlike(DANGLING)
-    fence_done = F.rtrim(last).endswith("```") & (fences % 2 == 0)
-    open_fence = (fences % 2) == 1
-    return F.when(open_fence, False).otherwise(fence_done | last.rlike(SIGN_OFF) | item_done | last.rlike(TAGS) | last.rlike(PATH) | last.rlike(TOTAL) | last.rlike(HEADING) | last.rlike(TABLE))
+    return F.when(odd, False).otherwise(last.endswith("```") | last.rlike(SIGN_OFF) | item_done | last.rlike(TAGS) | last.rlike(PATH) | last.rlike(TOTAL) | last.rlike(HEADING) | last.rlike(TABLE))
 
 
-def ending(text: Column) -> Column:
-    """`none` (no text), `closed`, `trailing` (an ellipsis after a whole sentence), `line` (a kind that needs no full stop), `item` (a long list item, undecided), `mark` (a mark for lost text), `open`."""
-    e = line_ends(text)
-    body, last = e["_body"], e["_last"]
-    unmarked = F.regexp_replace(body, LOST_MARK, "")
-    kept = F.regexp_extract(F.regexp_replace(unmarked, r"\s+$", ""), r"([^\r\n]*)$", 1)
+def ending() -> Column:
+    """Of a frame from `ends`: `none` (no text), `closed`, `trailing` (an ellipsis that ends a whole sentence), `line` (a kind that needs no full stop), `item` (a long list item, undecided), `mark` (a mark for lost text), `open`."""
+    body, last, tail = F.col("_body"), F.col("_last"), F.col("_tail")
+    unmarked = F.rtrim(F.regexp_replace(tail, LOST_MARK, ""), F.lit(SPACE))
+    dots = tail.rlike(r"(?:…|\.{3})$")
     # "More later…" is a whole sentence whose ellipsis is its full stop.
-    aside = body.rlike(r"(?:…|\.{3,})\s*$") & kept.rlike(ASIDE)
-    whole_before = unmarked.rlike(CLOSED)
+    aside = dots & unmarked.rlike(ASIDE)
     return (
-        F.when(text.isNull() | (body == ""), "none")
-        .when(aside | (body.rlike(LOST_MARK) & whole_before & body.rlike(r"(?:…|\.{3,})\s*$")), "trailing")
-        .when(body.rlike(LOST_MARK), "mark")
-        .when(body.rlike(CLOSED), "closed")
-        .when(complete(body, last), "line")
-        .when(last.rlike(LIST_ITEM) & last.rlike(r"[\p{L}\p{N}]$") & text.rlike(r"[\p{L}\p{N}]$"), "item")
+        F.when(body.isNull() | (body == ""), "none")
+        .when(aside | (dots & unmarked.rlike(CLOSED)), "trailing")
+        .when(tail.rlike(LOST_MARK), "mark")
+        .when(tail.rlike(CLOSED), "closed")
+        .when(complete(last, F.col("_odd")), "line")
+        .when((F.col("_word") != "") & last.rlike(LIST_ITEM), "item")
         .otherwise("open")
     )
 
 
-def sure(text: Column) -> Column:
-    """True where the text ends in a whole path or a closed code fence."""
-    last = line_ends(text)["_last"]
-    return last.rlike(PATH) | last.rlike(r"```\s*$")
-
-
 def spikes(df: DataFrame, source: str, lengths: list[str], near: int = 0, least: int = 8, factor: float = 6.0) -> DataFrame:
     """(source, unit, spike, n): lengths at the end of a source's histogram that hold far more texts than usual.
 
@@ -91,12 +91,15 @@ def flagged(df: DataFrame, rec_id: Column, text: Column, source: Column) -> Data
     any text whose end is open or marked as lost.  At a limit only ends that can't be cut short by chance count as a complete
     line: whole paths and closed code fences.
     """
-    base = df.select(rec_id.alias("rec_id"), source.cast("string").alias("source"), F.length(text).alias("n_chars"), F.octet_length(text).alias("n_bytes"), ending(text).alias("ending"), F.coalesce(sure(text), F.lit(False)).alias("_sure"), F.regexp_extract(text, r"([\p{L}\p{N}]+)$", 1).alias("_word"))
+    x = ends(df.select(rec_id.alias("rec_id"), source.cast("string").alias("source"), text.alias("_text")), F.col("_text"))
+    base = x.select("rec_id", "source", F.length("_text").alias("n_chars"), F.octet_length("_text").alias("n_bytes"), ending().alias("ending"), F.coalesce(F.col("_last").rlike(PATH) | F.col("_last").endswith("```"), F.lit(False)).alias("_sure"), "_word")
+    # What is known of each text is small and is needed three times: it is stored once.
+    base = Workspace(df.sparkSession, "cutoff").save(base)
     # A long item without a full stop is complete if texts of this collection end sentences or lines with its last word.
-    doubt = df.select(F.regexp_extract(text, r"([\p{L}\p{N}]+)$", 1).alias("word"), ending(text).alias("e")).where("e = 'item'").select("word").distinct()
-    ends = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace(text, r"\s+$", ""), F.lit(r"([\p{L}\p{N}]+)(?:[.!?]|[\r\n])"), F.lit(1)))).alias("word"))
-    final = ends.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2").join(doubt, "word", "left_semi").select("word", F.lit(True).alias("_final"))
-    base = base.join(final, F.col("word") == F.col("_word"), "left").withColumn("ending", F.when(F.col("ending") == "item", F.when(F.col("_final"), "line").otherwise("open")).otherwise(F.col("ending")))
+    doubt = base.where("ending = 'item'").select(F.col("_word").alias("word")).distinct()
+    finals = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.rtrim(text, F.lit(SPACE)), F.lit(r"(?<![\p{L}\p{N}])([\p{L}\p{N}]++)[.!?\r\n]"), F.lit(1)))).alias("word"))
+    final = finals.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2").join(doubt, "word", "left_semi").select(F.col("word").alias("_final"))
+    base = base.join(final, (F.col("_word") == F.col("_final")) & (F.col("ending") == "item"), "left").withColumn("ending", F.when(F.col("ending") == "item", F.when(F.col("_final").isNotNull(), "line").otherwise("open")).otherwise(F.col("ending")))
     found = spikes(base, "source", ["n_chars", "n_bytes"])
     # One row per source: its limits, at most five lengths a unit.
     limits = found.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "n_chars", F.col("spike"))).alias("c"), F.collect_set(F.when(F.col("unit") == "n_bytes", F.col("spike"))).alias("b"))

@@ -67,7 +67,9 @@ def links(vectors: DataFrame, dim: int, k: int = 5, least: float = 0.88, probes:
     total = reps.count()
     if total == 0:
         return spark.createDataFrame([], "key string, other string, cosine double, rank int")
-    sample = np.array([r["v"] for r in reps.select("v", F.xxhash64(F.lit(7), "cls").alias("o")).orderBy("o").limit(SAMPLE).select("v").collect()], np.float32)
+    # By a threshold on a hash, so that tasks send no more than the sample.
+    chosen = reps.where(F.pmod(F.xxhash64(F.lit(7), "cls"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / total))).select("v").toArrow()["v"].combine_chunks()
+    sample = _matrix(chosen, dim) if len(chosen) else _matrix(reps.select("v").limit(1).toArrow()["v"].combine_chunks(), dim)
     count = int(min(max(1, total // per_line), most_lines, len(sample)))
     lines = spark.sparkContext.broadcast(fit_lines(sample, count))
     width = min(probes, count)

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from . import graph_queries, hierarchy_queries, scalar_queries
+from . import graph_queries, hierarchy_queries, ledger_queries, scalar_queries
 
 FLAGSHIP = "p4_found"
+MODULES = (scalar_queries, graph_queries, ledger_queries)
 
 
 def queries() -> dict:
     out = dict(hierarchy_queries.queries())
-    for m in (scalar_queries, graph_queries):
+    for m in MODULES:
         out |= m.R.queries
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for m in (scalar_queries, graph_queries):
+    for m in MODULES:
         out |= m.R.sql
     return out

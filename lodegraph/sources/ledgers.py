@@ -42,8 +42,11 @@ def loops(rows: DataFrame, areas: list[str] = AREAS, owner: str = OWNER) -> Data
     value = lambda p: F.trim(F.substring(p, F.lit(1) + F.length(F.substring_index(p, " ", 1)), F.length(p)))
     x = x.withColumn("_f", fields)
     bad = F.get(F.filter("_f", lambda p: ~key(p).isin(KEYS)), 0)
-    for k in KEYS:
-        x = x.withColumn(f"_{k}", F.nullif(value(F.element_at(F.concat(F.array(F.lit("")), F.filter("_f", lambda p, k=k: key(p) == k)), -1)), F.lit("")))
+
+    def last_of(k: str) -> Column:
+        return F.nullif(value(F.element_at(F.concat(F.array(F.lit("")), F.filter("_f", lambda p: key(p) == k)), -1)), F.lit(""))
+
+    x = x.withColumns({f"_{k}": last_of(k) for k in KEYS})
     dates = {k: strict_date(F.col(f"_{k}")) for k in ("due", "since", "touched", "done")}
     prio = F.when(F.col("_prio").isNull(), 2).when(F.col("_prio").rlike(r"^\d{1,9}$"), F.try_to_number("_prio", F.lit("999999999")).cast("int")).otherwise(-1)
     missing = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(n)) for c, n in (("_due", "due"), ("_owner", "owner"), ("_area", "area"), ("next", "next"))]), lambda m: m.isNotNull())

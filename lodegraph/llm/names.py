@@ -177,6 +177,11 @@ def distinct_names(df: DataFrame, rec_id: Column, name: Column, kind: Column) ->
     return members, members.select("kind", "name").distinct().mapInPandas(split, "kind string, name string, toks array<string>")
 
 
+def parts(df: DataFrame, rows: int = 20_000) -> int:
+    """Parts for a stored table whose rows are few bytes but much work; a part that is chosen by bytes would be too large."""
+    return max(df.sparkSession.sparkContext.defaultParallelism * 2, -(-df.count() // rows))
+
+
 def similar_tokens(ws: Workspace, vocab: DataFrame) -> DataFrame:
     """(kind, t, u): tokens of a vocabulary (kind, t) within the allowed edits, both ways round and with themselves.
 
@@ -189,9 +194,11 @@ def similar_tokens(ws: Workspace, vocab: DataFrame) -> DataFrame:
     freq = grams.groupBy("kind", "g").agg(F.count("*").alias("df"))  # bounded by the square of the alphabet
     ranked = grams.join(freq, ["kind", "g"]).groupBy("kind", "t", "e").agg(F.array_sort(F.collect_list(F.struct("df", "g", "at"))).alias("gs"))  # as many as the token has letters
     prefix = ws.save(ranked.select("kind", "t", "e", F.explode(F.slice("gs", 1, F.col("e") * 3 + 1)).alias("x")).select("kind", "t", "e", "x.g", "x.at"))
-    a = prefix.alias("a")
-    b = prefix.select(F.col("kind").alias("k2"), F.col("g").alias("g2"), F.col("t").alias("u"), F.col("e").alias("e2"), F.col("at").alias("at2")).alias("b")
-    near = a.join(b, (F.col("kind") == F.col("k2")) & (F.col("g") == F.col("g2")) & (F.abs(F.col("at") - F.col("at2")) <= 2) & (F.abs(F.length("t") - F.length("u")) <= F.least("e", "e2")) & (F.col("t") < F.col("u")))
+    # Places are part of the key: one side stands at all places within reach.  The parts are numbered, as bytes say little of the work.
+    n = parts(prefix)
+    a = prefix.repartition(n, "kind", "g", "at")
+    b = prefix.select("kind", "g", F.explode(F.sequence(F.col("at") - 2, F.col("at") + 2)).alias("at"), F.col("t").alias("u"), F.col("e").alias("e2")).repartition(n, "kind", "g", "at")
+    near = a.join(b, ["kind", "g", "at"]).where((F.abs(F.length("t") - F.length("u")) <= F.least("e", "e2")) & (F.col("t") < F.col("u")))
     # Swaps count twice here and once below, so 2e in plain edits lets every allowed pair through.
     near = near.where(F.levenshtein("t", "u", 4) >= 0).select("kind", "t", "u").distinct()
 
@@ -199,7 +206,8 @@ def similar_tokens(ws: Workspace, vocab: DataFrame) -> DataFrame:
         for b in batches:
             yield b[[edits(x, y, allowed(x, y)) <= allowed(x, y) for x, y in zip(b["t"], b["u"])]]
 
-    ok = ws.save(near.mapInPandas(exact, "kind string, t string, u string"))
+    near = ws.save(near)
+    ok = ws.save(near.repartition(parts(near)).mapInPandas(exact, "kind string, t string, u string"))
     return ok.unionByName(ok.select("kind", F.col("u").alias("t"), F.col("t").alias("u"))).unionByName(vocab.select("kind", "t", F.col("t").alias("u")))
 
 
@@ -236,6 +244,8 @@ def linked(df: DataFrame, rec_id: Column, name: Column, kind: Column, common_df:
     left = left.join(hot_keys, ["kind", "key"], "left").withColumn("ini", F.explode(F.when(F.coalesce("is_hot", F.lit(False)), F.col("inis")).otherwise(every)))
     right = right.withColumn("ini", F.explode(F.when(F.col("hot"), F.col("inis2")).otherwise(every)))
     cand = left.select("kind", "key", "ini", "a").join(right.select("kind", "key", "ini", "b"), ["kind", "key", "ini"]).where("a < b").select("kind", "a", "b").distinct()
+    cand = ws.save(cand)
+    n_parts = parts(cand)
     cand = cand.join(info.select("kind", F.col("name").alias("a"), F.col("toks").alias("ta"), F.col("weights").alias("wa")), ["kind", "a"]).join(info.select("kind", F.col("name").alias("b"), F.col("toks").alias("tb"), F.col("weights").alias("wb")), ["kind", "b"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,7 +256,7 @@ def linked(df: DataFrame, rec_id: Column, name: Column, kind: Column, common_df:
                 keep.append((same_person if k == "person" else same_organisation)(list(ta), list(tb), w))
             yield b.loc[keep, ["kind", "a", "b"]]
 
-    return members, ws.save(cand.mapInPandas(verify, "kind string, a string, b string"))
+    return members, ws.save(cand.repartition(n_parts).mapInPandas(verify, "kind string, a string, b string"))
 
 
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:

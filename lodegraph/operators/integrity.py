@@ -242,19 +242,24 @@ def repaired(nodes: DataFrame, edges: DataFrame, owner: str, fallback: str) -> t
     owner or one category, nodes under the owner and orphans move to the category `fallback`, of several parents one stays (a single
     one that is no category, else the newest), and of every cycle the link of its smallest node moves to the fallback.
     """
+    from ..workspace import Workspace
     from . import hierarchy
 
+    # Every step reads the one before several times, so each is stored.
+    ws = Workspace(nodes.sparkSession, "repair")
     steps: list[tuple[str, DataFrame]] = []
-    cur = edges
+    nodes = ws.save(nodes.select("id", "type", "archived"))
+    cur = ws.save(edges)
 
     def less(name: str, ids: DataFrame) -> None:
         nonlocal cur
-        steps.append((name, ids.select("id").distinct()))
-        cur = cur.join(ids.select("id").distinct(), "id", "left_anti").select(*edges.columns)
+        gone = ws.save(ids.select("id").distinct())
+        steps.append((name, gone))
+        cur = ws.save(cur.join(gone, "id", "left_anti").select(*edges.columns))
 
     less("dangling", dangling(nodes, cur))
-    steps.append(("oriented", misoriented(nodes, cur).select("id")))
-    cur = oriented(nodes, cur)
+    steps.append(("oriented", ws.save(misoriented(nodes, cur).select("id"))))
+    cur = ws.save(oriented(nodes, cur))
     less("redundant_links", redundant_links(cur))
     less("category_links", category_links(nodes, cur))
     less("root_parents", cur.where((F.col("relation") == "part_of") & (F.col("source_id") == owner)))
@@ -264,25 +269,26 @@ def repaired(nodes: DataFrame, edges: DataFrame, owner: str, fallback: str) -> t
     # What may stay: categories below the owner or categories; other nodes anywhere but below the owner.
     allowed = typed.where(F.when(F.col("st") == "category", (F.col("target_id") == owner) | (F.col("tt") == "category")).otherwise(F.col("target_id") != owner) & (F.col("source_id") != F.col("target_id")))
     per = allowed.groupBy("source_id").agg(F.count_distinct(F.when(F.col("tt") != "category", F.col("target_id"))).alias("plain"), F.max_by("target_id", F.struct("created_at", "target_id")).alias("newest"), F.max(F.when(F.col("tt") != "category", F.col("target_id"))).alias("one"), F.first("st").alias("st"))
-    keep = per.select("source_id", F.when((F.col("st") != "category") & (F.col("plain") == 1), F.col("one")).otherwise(F.col("newest")).alias("target_id"))
+    keep = ws.save(per.select("source_id", F.when((F.col("st") != "category") & (F.col("plain") == 1), F.col("one")).otherwise(F.col("newest")).alias("target_id")))
     kept = typed.join(keep, ["source_id", "target_id"], "left_semi")
     dropped = typed.join(kept.select("id"), "id", "left_anti")
     less("parents", dropped.select("id"))
     homeless = active(nodes).where(F.col("id") != owner).select("id", "type").join(keep.select(F.col("source_id").alias("id")), "id", "left_anti")
-    homes = homeless.where(F.col("id") != fallback).select("id", F.when(F.col("type") == "category", F.lit(owner)).otherwise(F.lit(fallback)).alias("target_id"))
+    # The fallback itself hangs off the owner.
+    homes = ws.save(homeless.select("id", F.when(F.col("type") == "category", F.lit(owner)).otherwise(F.lit(fallback)).alias("target_id")))
     steps.append(("rehomed", homes.select("id")))
 
     def links_to(df: DataFrame) -> DataFrame:
         row = df.select(F.concat(F.lit("fix:"), F.col("id")).alias("id"), F.col("id").alias("source_id"), "target_id", F.lit("part_of").alias("relation"))
         return row.select(*[F.col(c) if c in row.columns else F.lit(None).cast(edges.schema[c].dataType).alias(c) for c in edges.columns]).fillna({"weight": 1.0} if "weight" in edges.columns else {})
 
-    cur = cur.unionByName(links_to(homes))
+    cur = ws.save(cur.unionByName(links_to(homes)))
     # Cycles: every node has one parent now, so a cycle's nodes are those that reach themselves; cut at the smallest.
     tree = cur.where("relation = 'part_of'").select(F.col("source_id").alias("child"), F.col("target_id").alias("parent")).distinct()
     lost = hierarchy.roots_and_depths(tree).where("depth = -1").select(F.col("node_id").alias("child"))
     loop = tree.join(lost, "child")
     low = cycle_members(loop)
-    cuts = low.groupBy("cycle").agg(F.min("id").alias("id")).select("id")
+    cuts = ws.save(low.groupBy("cycle").agg(F.min("id").alias("id")).select("id"))
     steps.append(("cycles", cuts))
     cur = cur.join(cuts.select(F.col("id").alias("source_id"), F.lit("part_of").alias("relation")), ["source_id", "relation"], "left_anti").select(*edges.columns).unionByName(links_to(cuts.where(F.col("id") != fallback).withColumn("target_id", F.lit(fallback))))
     audit = None

@@ -16,7 +16,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
+    out = dict(hierarchy_queries.oracle_sql())
     for m in MODULES:
         out |= m.R.sql
     return out

@@ -13,6 +13,7 @@ from ..operators import answers, decaying, graph, hierarchy, index, ingest, muta
 from ..operators import integrity as I
 from ..sources import portable
 from ..sources.tables import AS_OF, table
+from .hierarchy_queries import UP_SQL
 from .registry import Registry
 from .scalar_queries import DAY, HALF, LEFT, WEIGHT, sql_list
 
@@ -491,9 +492,9 @@ def e4_crowded(spark, d):
     return I.crowded(nodes_of(spark, d), edges_of(spark, d), owner_of(spark, d))
 
 
-@R.query()
+@R.query(f"{UP_SQL}, t AS (SELECT l.c AS id FROM l JOIN nodes n ON n.id = l.c WHERE n.type = 'category' AND l.p = {OWNER}) SELECT t.id, count(DISTINCT ok.node) AS descendants FROM t LEFT JOIN ok ON ok.anc = t.id GROUP BY t.id")
 def e5_area_sizes(spark, d):
-    """Descendants of the categories below the owner; the closure is checked in the tests."""
+    """Descendants of the categories below the owner."""
     return answers.breakdown(nodes_of(spark, d), edges_of(spark, d), owner_of(spark, d))
 
 
@@ -559,6 +560,23 @@ def h1_keyword_scores(spark, d):
     return s.select("id", *[c(x).cast("long").alias(x) for x in ("hits", "entity", "exact", "name_hits")])
 
 
+R.sql["f1_keyword_search"] = f"SELECT id, hits, entity, exact, name_hits, weight, CAST(row_number() OVER (ORDER BY hits DESC, entity DESC, exact DESC, name_hits DESC, weight DESC, id) AS BIGINT) AS rank FROM ({R.sql['h1_keyword_scores']}) JOIN (SELECT id, weight FROM nodes) USING (id) ORDER BY rank LIMIT 20"
+
+
+def _sql_file_hits(of: str) -> str:
+    return _sql_hits(_T, of)
+
+
+_HEAD = "lower(concat_ws(' ', coalesce(title, ''), array_to_string(coalesce(aliases, []), ' ')))"
+
+
+@R.query(f"""WITH x AS (SELECT path, kind, {_HEAD} AS h, coalesce(tokens, []) AS tk FROM vault_files), y AS (SELECT path, kind, h, list_filter(regexp_extract_all(h, '[a-z0-9]+'), lambda t: length(t) > 1 AND NOT list_contains({sql_list(X.STOP)}, t)) AS ht, tk FROM x),
+    z AS (SELECT path, kind, 3 * ({_sql_file_hits('ht')}) + ({_sql_file_hits('tk')}) + CASE WHEN contains(h, '{_QUERY}') THEN 6 ELSE 0 END AS s FROM y) SELECT path, round(CASE WHEN kind IN ('readme', 'hub') THEN s * 0.6 ELSE CAST(s AS DOUBLE) END, 3) AS score FROM z WHERE s > 0""")
+def h2_plain_file_scores(spark, d):
+    """File scores without seeds and vectors."""
+    return search.file_scores(_files(spark, d), _QUERY).select("path", "score")
+
+
 _Q64 = [1.0] + [0.5] * 7 + [0.0] * 56
 
 
@@ -646,7 +664,7 @@ def g7_tree(spark, d):
     return graph.tree_rows(edges_of(spark, d), nodes_of(spark, d)).select("id", "depth", "sort_path")
 
 
-@R.query()
+@R.query(f"{UP_SQL} SELECT anc AS id, count(DISTINCT node) AS descendants FROM ok GROUP BY anc")
 def g8_subtree_sizes(spark, d):
     links = hierarchy.structural_links(nodes_of(spark, d), table(spark, d, "edges"))
     return graph.subtree_sizes(hierarchy.closure(links))
@@ -666,7 +684,7 @@ def g11_link_hop(spark, d):
     return search.hop(s, links, f).select("path", "score")
 
 
-@R.query()
+@R.query(f"{UP_SQL} SELECT id FROM nodes WHERE archived = 0 AND type <> 'category' AND id NOT IN (SELECT node FROM ok WHERE anc IN (SELECT id FROM nodes WHERE type = 'category'))")
 def g12_loose_ends(spark, d):
     """Active nodes below no category."""
     n, e = nodes_of(spark, d), edges_of(spark, d)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.vocab import sql_relation
 from ..operators import hierarchy
 from ..sources.tables import table
 
@@ -19,7 +21,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.closure(_links(spark, d))
+    return hierarchy.closure(_links(spark, d)).withColumn("steps", F.col("steps").cast("long"))
 
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -28,3 +30,18 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p4_found, p4_descendants, p4_paths)}
+
+
+#: All ancestors with their distances; chains longer than the number of children run in a cycle.
+UP_SQL = f"""WITH RECURSIVE l AS (SELECT DISTINCT source_id AS c, target_id AS p FROM edges WHERE {sql_relation('relation')} = 'part_of' AND source_id IN (SELECT id FROM nodes) AND target_id IN (SELECT id FROM nodes)),
+    lim AS (SELECT count(DISTINCT c) + 1 AS n FROM l), up AS (SELECT c AS node, p AS anc, 1 AS d FROM l UNION SELECT up.node, l.p, d + 1 FROM up JOIN l ON l.c = up.anc WHERE d < (SELECT n FROM lim)),
+    cyc AS (SELECT DISTINCT node FROM up WHERE d = (SELECT n FROM lim)), ok AS (SELECT * FROM up WHERE node NOT IN (SELECT node FROM cyc))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p4_found": f"{UP_SQL} SELECT node AS node_id, anc AS root_id, CAST(d AS BIGINT) AS depth FROM ok WHERE anc NOT IN (SELECT c FROM l) UNION ALL SELECT node, 'cycle', -1 FROM cyc",
+        "p4_descendants": f"{UP_SQL} SELECT node AS node_id, anc AS ancestor_id, CAST(d AS BIGINT) AS steps FROM ok",
+        "p4_paths": f"""{UP_SQL}, s AS (SELECT node, max(k) AS k, max(d) AS depth, count(*) AS levels, string_agg(a, '/' ORDER BY d DESC) AS path, max_by(a, d) AS root FROM (SELECT node, d, count(*) AS k, min(anc) AS a FROM ok GROUP BY node, d) GROUP BY node)
+            SELECT node AS node_id, root AS root_id, CAST(depth AS BIGINT) AS depth, path || '/' || node AS path FROM s WHERE k = 1 AND levels = depth""",
+    }

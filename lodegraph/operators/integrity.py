@@ -8,6 +8,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,17 +128,30 @@ def _kin(pairs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(p, ["a", "b"], "left_anti")
 
 
-def semantic_duplicates(nodes: DataFrame, edges: DataFrame, least: float = 0.89) -> DataFrame:
+def semantic_duplicates(nodes: DataFrame, edges: DataFrame, least: float = 0.89, block: int = 2048) -> DataFrame:
     """(a, b, cosine): active nodes of one type, no categories, whose stored vectors nearly coincide; parents and children don't count.
 
-    Vectors are brought to unit length before the join and the join has an equality on type and length, so it is hashed, not nested.
-    Types are few: for stores of millions the index of the neighbours operator takes this place.
+    All pairs of a type are compared, as the check asks for, but as products of matrices: a type's vectors are dealt into blocks of
+    about `block` rows and every task gets one pair of blocks, however large the type is.
     """
-    v = active(nodes).where("type <> 'category' and embedding is not null and size(embedding) > 0").select("id", "type", F.size("embedding").alias("dim"), "embedding", V.norm(F.col("embedding")).alias("_n")).where("_n > 0")
-    v = v.select("id", "type", "dim", F.transform("embedding", lambda x: x.cast("double") / F.col("_n")).alias("u"), F.pmod(F.xxhash64("id"), F.lit(8)).alias("salt"))
-    left = v.select(F.col("id").alias("a"), "type", "dim", F.col("u").alias("ua"), F.col("salt"))
-    right = v.select(F.col("id").alias("b"), "type", "dim", F.col("u").alias("ub"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))  # a hot type is split over eight tasks
-    pairs = left.join(right, ["type", "dim", "salt"]).where("a < b").select("a", "b", F.round(V.dot(F.col("ua"), F.col("ub")), 6).alias("cosine")).where(F.col("cosine") >= least)
+    v = active(nodes).where("type <> 'category' and embedding is not null and size(embedding) > 0").select("id", "type", F.size("embedding").alias("dim"), "embedding", V.norm(F.col("embedding")).alias("_n")).where("_n > 0 and not isnan(_n)")
+    v = v.select("id", "type", "dim", F.transform("embedding", lambda x: x.cast("double") / F.col("_n")).alias("u"))
+    n = v.groupBy("type", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    dealt = v.join(n, ["type", "dim"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    paired = dealt.select("type", "dim", "id", "own", "u", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x")).select("type", "dim", "id", "own", "u", F.least("own", "x").alias("lo"), F.greatest("own", "x").alias("hi"))
+
+    def compare(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        _, _, lo, hi = key
+        u, ids, own = np.array(p["u"].tolist(), float), p["id"].to_numpy(), p["own"].to_numpy()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        cos = np.round(u[left] @ u[right].T, 6)
+        i, j = np.nonzero(cos >= least)
+        a, b = ids[left[i]], ids[right[j]]
+        keep = a < b if lo == hi else a != b
+        a, b, c = a[keep], b[keep], cos[i, j][keep]
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "cosine": c})
+
+    pairs = paired.groupBy("type", "dim", "lo", "hi").applyInPandas(compare, "a string, b string, cosine double")
     return _kin(pairs, nodes, edges)
 
 

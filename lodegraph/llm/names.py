@@ -144,10 +144,8 @@ def same_person(a: list[str], b: list[str], weight: dict[str, float]) -> bool:
     full = [(x, y, s) for x, y, s in match if len(x) > 1 and len(y) > 1]
     if not full or len(match) < 2:
         return False
-    # Names in full on both sides that match nothing on the other: two people.
-    left_a = sum(len(t) > 1 for t in a) - sum(len(x) > 1 for x, _, _ in match)
-    left_b = sum(len(t) > 1 for t in b) - sum(len(y) > 1 for _, y, _ in match)
-    if left_a > 0 and left_b > 0:
+    # All names in full of the side that has fewer must match in full: an initial stands for a given name, not for a family name.
+    if len(full) < min(sum(len(t) > 1 for t in a), sum(len(t) > 1 for t in b)):
         return False
     # The family name is the match that weighs most and is no known given name.
     family = max(full, key=lambda m: (not ({m[0], m[1]} & KNOWN_GIVEN), weight.get(m[0], 1.0) + weight.get(m[1], 1.0)))

@@ -169,7 +169,7 @@ def test_pii_redaction(spark):
 # ---- names ----
 
 SAME = [("Robert Holtberg", "Bob Holtberg"), ("Robert Holtberg", "HOLTBERG, ROBERT"), ("Robert Holtberg", "R. Holtberg"), ("Robert Holtberg", "Dr. Robert Q. Holtberg"), ("Robert Holtberg", "Robert Holtbreg"), ("Jürgen Lindström", "Juergen Lindstroem"), ("Holtberg Research Institute", "Holtberg Res. Inst. Ltd."), ("Holtberg Research Institute", "The Holtberg Research Institute, e.V."), ("Savings Bank Nordfeld", "Nordfeld Svgs Bank")]
-OTHER = [("Robert Holtberg", "Susan Holtberg"), ("Robert Holtberg", "S. Holtberg"), ("Robert Holtberg", "Robert Nordfeld"), ("Holtberg Research Institute", "Holtberg Medical Center"), ("Holtberg Research Institute", "Nordfeld Research Institute"), ("Robert T. Holtberg", "Robert T. Nordfeld")]
+OTHER = [("Robert Holtberg", "Susan Holtberg"), ("Robert Holtberg", "S. Holtberg"), ("Robert Holtberg", "Robert Nordfeld"), ("Holtberg Research Institute", "Holtberg Medical Center"), ("Holtberg Research Institute", "Nordfeld Research Institute"), ("Robert T. Holtberg", "Robert T. Nordfeld"), ("Robert N. Holtberg", "Robert Nordfeld")]
 
 
 @pytest.mark.parametrize("pair, want", [(p, True) for p in SAME] + [(p, False) for p in OTHER])

@@ -194,7 +194,7 @@ def name_duplicates(nodes: DataFrame, owner: str = "owner") -> DataFrame:
     # A name alike in 0.9 keeps most four-grams: at most 4 are lost per edited run, and 2 (1 - 0.9) of the letters may be edited.
     ranked = grams.join(gf, ["type", "g"]).groupBy("type", "n").agg(F.array_sort(F.collect_list(F.struct("count", "g"))).alias("gs"))
     pre = ranked.select("type", "n", F.explode(F.slice("gs", 1, F.least(F.size("gs"), (F.ceil(F.length("n") * 0.2 / 0.9) * 4 + 1).cast("int")))).alias("x")).select("type", "n", "x.g")
-    cand = pre.select("type", "g", F.col("n").alias("n1")).join(pre.select("type", "g", F.col("n").alias("n2")), ["type", "g"]).where("n1 < n2").select("type", "n1", "n2").distinct()
+    cand = pre.select("type", "g", F.col("n").alias("n1")).join(pre.select("type", "g", F.col("n").alias("n2")), ["type", "g"]).where("n1 < n2 and 20 * least(length(n1), length(n2)) >= 9 * (length(n1) + length(n2))").select("type", "n1", "n2").distinct()
     alike = ratio_at_least(cand, "n1", "n2")
     ratio = alike.join(a.withColumnRenamed("n", "n1"), ["type", "n1"]).join(b.withColumnRenamed("n", "n2"), ["type", "n2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit("ratio").alias("reason"))
     every = equal.unionByName(subset).unionByName(ratio)

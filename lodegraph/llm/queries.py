@@ -38,7 +38,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
     """The surviving records themselves: each field from the row whose value has the most votes."""
     w = _survivors(spark, d, "votes")
-    n = table(spark, d, "nodes").groupBy("id").agg(*[F.max(c).alias(c) for c in ("content", "importance", "last_accessed", "access_count")])
+    n = table(spark, d, "nodes").select("id", "content", "importance", "last_accessed", "access_count")  # a repeated id gives repeated rows, of which max takes one
     long = w.select("group_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}_id").alias("id")) for c in ("content", "importance", "accessed", "count")])).alias("x")).select("group_id", "x.*")
     got = long.join(n, "id", "left")
     pick = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))

@@ -263,6 +263,24 @@ def test_neighbours_recall_and_copies(spark):
     assert neighbours.links(v.where("false"), 16).count() == 0 and neighbours.links(v.where("key = 'k0001'"), 16).count() == 0
 
 
+@pytest.mark.parametrize("alike", [0.95, 0.9, 0.8])
+def test_neighbours_in_a_crowd(spark, monkeypatch, alike):
+    """A third of all vectors in one group, which many lines cut and which fills several blocks."""
+    monkeypatch.setattr(neighbours, "BLOCK", 600)
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    crowd = alike**0.5 * unit(r.normal(size=(1, 64))) + (1 - alike) ** 0.5 * unit(r.normal(size=(1500, 64)))
+    rest = unit(r.normal(size=(1500, 64)))
+    x = unit(np.concatenate([crowd, rest, rest + 0.04 * r.normal(size=rest.shape)])).astype(np.float32)
+    keys = [f"k{i:04}" for i in range(len(x))]
+    df = spark.createDataFrame([(k, [float(a) for a in v]) for k, v in zip(keys, x)], "key string, e array<double>")
+    got = {(a["a_key"], a["b_key"]) for a in neighbours.pairs(neighbours.links(neighbours.usable(df, F.col("key"), F.col("e"), 64), 64, k=5, least=0.88, per_line=30)).collect()}
+    want = brute_neighbours(keys, x.astype(float), 5, 0.88)
+    inside = lambda pairs: {p for p in pairs if p[1] < "k1500"}
+    assert len(inside(got) & want) >= 0.99 * len(inside(want)) and len(got & want) >= 0.98 * len(want)
+    assert len(got - want) <= 0.01 * len(want)
+
+
 def test_recall_on_the_tables(spark):
     d = "/root/testdata/sf0.01"
     v = queries._vectors(spark, d).toPandas()

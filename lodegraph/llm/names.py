@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import pandas as pd
 import regex
@@ -209,11 +210,82 @@ def similar_tokens(ws: Workspace, vocab: DataFrame) -> DataFrame:
     return ok.unionByName(ok.select("kind", F.col("u").alias("t"), F.col("t").alias("u"))).unionByName(vocab.select("kind", "t", F.col("t").alias("u")))
 
 
+def standing_for() -> list[tuple[str, str]]:
+    """(c, key): the formal names of every known given name, those within one edit of them, and the name itself."""
+    out = {(c, c) for c in KNOWN_GIVEN}
+    for c in KNOWN_GIVEN:
+        forms = FORMAL.get(c, set()) | {c}
+        out |= {(c, f) for f in forms} | {(c, x) for x in NICKNAMES for f in forms if min(len(x), len(f)) >= 5 and edits(x, f, 1) <= 1}
+    return sorted(out)
+
+
+def keys_of(kind: str, toks: list[str], common: dict[str, set[str]]) -> set[tuple[str, bool]]:
+    """(key, initial) of a name by which names meet that share no rare token.
+
+    common: by token the common tokens and given names it is alike to.  Persons need two matches of tokens, the second of which may
+    be an initial: of two names that share a key of an initial one must have the initial itself.  Organisations of up to three tokens
+    need matches of all, longer ones of all but one, so three at least.  Equal sets of tokens always meet.
+    """
+    out = {("=|" + "|".join(sorted(toks)), False)}
+    own = sorted(set(toks))
+    known = [t for t in own if t in common and (len(t) > 1 or kind != "person")]
+    size = 2 if kind == "person" else min(3, len(own))
+    for some in combinations(known, size):
+        out |= {(f"{size}|" + "|".join(sorted(x)), False) for x in product(*(common[t] for t in some))}
+    if kind == "person":
+        for t in known:
+            for o in own:
+                if o != t:
+                    for first in {o[0], *(x[0] for x in FORMAL.get(o, ()))}:
+                        out |= {(f"i|{x}|{first}", len(o) == 1) for x in common[t]}
+    return out
+
+
+def met_by_common(ws: Workspace, names: DataFrame, freq: DataFrame, pairs: DataFrame, common_df: int) -> DataFrame:
+    """(kind, a, b), a < b: names whose common tokens agree, and names with equal sets of tokens.
+
+    Two alike tokens are both rare, and bring their names together by themselves, or one is common, and then both are alike to
+    that one.  Common tokens are few: at most tokens / common_df.
+    """
+    spark = names.sparkSession
+    common = ws.save(freq.where(F.col("df") > common_df).select("kind", F.col("t").alias("c")).unionByName(spark.createDataFrame([("person", c) for c in sorted(KNOWN_GIVEN)], "kind string, c string")).distinct())
+    near = pairs.withColumnRenamed("u", "c").join(common, ["kind", "c"])
+    # Short forms of words open with the same letter.
+    first = lambda x: F.substring(x, 1, 1)
+    words = freq.where("kind = 'organization'").select("kind", "t", first("t").alias("f")).join(common.withColumn("f", first("c")), ["kind", "f"]).where("abs(length(t) - length(c)) >= 1").select("kind", "t", "c")
+
+    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[alike(t, c, k) > 0 for k, t, c in zip(b["kind"], b["t"], b["c"])]]
+
+    near = near.select("kind", "t", "c").unionByName(words.mapInPandas(short, "kind string, t string, c string"))
+    forms = spark.createDataFrame([("person", c, x) for c, x in standing_for()], "kind string, c string, form string")
+    near = near.join(forms, ["kind", "c"], "left").select("kind", "t", F.coalesce("form", "c").alias("c")).distinct()
+    of = names.select("kind", "name", "toks", F.explode(F.array_distinct("toks")).alias("t")).join(near, ["kind", "t"], "left")
+    of = of.groupBy("kind", "name").agg(F.first("toks").alias("toks"), F.collect_list(F.struct("t", "c")).alias("cs"))  # a name's own tokens
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for kind, name, toks, cs in zip(b["kind"], b["name"], b["toks"], b["cs"]):
+                by: dict[str, set[str]] = {}
+                for x in cs:
+                    if x["c"] is not None:
+                        by.setdefault(x["t"], set()).add(x["c"])
+                out += [(kind, key, initial, name) for key, initial in keys_of(kind, list(toks), by)]
+            yield pd.DataFrame(out, columns=["kind", "key", "initial", "name"])
+
+    keys = ws.save(of.mapInPandas(keyed, "kind string, key string, initial boolean, name string"))
+    x = keys.where("initial or not startswith(key, 'i|')").select("kind", "key", F.col("name").alias("x"))
+    met = x.join(keys.withColumnRenamed("name", "y"), ["kind", "key"]).where("x < y or (x <> y and startswith(key, 'i|'))")
+    return met.select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def linked(df: DataFrame, rec_id: Column, name: Column, kind: Column, common_df: int | None = None, frequent: int = 200) -> tuple[DataFrame, DataFrame]:
     """Membership (id, kind, name) and links (kind, a, b) between distinct names, a < b.
 
-    common_df: tokens in more distinct names than this are common (given names, kinds of organisations) and bring no names
-    together unless a name has no other.  Of tokens in more than `frequent` names only names that also share an initial of another token meet.
+    common_df: tokens in more distinct names than this are common (given names, kinds of organisations) and bring names
+    together only two by two, or with an initial (`met_by_common`), unless a name has no other.  Of tokens in more than `frequent` names only names that also share an initial of another token meet.
     Equal spellings are one name; nothing is capped; empty input gives empty tables.
     """
     ws = Workspace(df.sparkSession, "names")
@@ -225,10 +297,11 @@ def linked(df: DataFrame, rec_id: Column, name: Column, kind: Column, common_df:
     freq = rows.groupBy("kind", "t").agg(F.count("*").alias("df"))
     with_df = ws.save(rows.join(freq, ["kind", "t"]))
     # The rarest long token always counts; every other rare one does too.
-    long = with_df.where(F.length("t") >= 4)
-    rarest = long.groupBy("kind", "name").agg(F.min_by("t", F.struct("df", "t")).alias("rarest"))
-    core = ws.save(long.join(rarest, ["kind", "name"]).where((F.col("df") <= common_df) | (F.col("t") == F.col("rarest"))).select("kind", "name", "t", "df"))
-    pairs = similar_tokens(ws, core.select("kind", "t").distinct())
+    long = with_df.where((F.length("t") >= 2) | (F.col("kind") == "organization"))
+    rarest = long.where(F.length("t") >= 4).groupBy("kind", "name").agg(F.min_by("t", F.struct("df", "t")).alias("rarest"))
+    core = ws.save(long.join(rarest, ["kind", "name"], "left").where((F.col("df") <= common_df) | (F.col("t") == F.col("rarest"))).select("kind", "name", "t", "df"))
+    given = df.sparkSession.createDataFrame([("person", t) for t in sorted(KNOWN_GIVEN)], "kind string, t string")
+    pairs = ws.save(similar_tokens(ws, freq.select("kind", "t").unionByName(given).distinct()))
     n = float(max(1, total))
     heavy = with_df.groupBy("kind", "name").agg(F.collect_list(F.struct("t", F.log(1 + n / F.col("df")).alias("w"))).alias("weights"))  # a name's own tokens
     info = ws.save(names.join(heavy, ["kind", "name"]))
@@ -241,8 +314,8 @@ def linked(df: DataFrame, rec_id: Column, name: Column, kind: Column, common_df:
     hot_keys = right.where("hot").select("kind", "key").distinct().withColumn("is_hot", F.lit(True))
     left = left.join(hot_keys, ["kind", "key"], "left").withColumn("ini", F.explode(F.when(F.coalesce("is_hot", F.lit(False)), F.col("inis")).otherwise(every)))
     right = right.withColumn("ini", F.explode(F.when(F.col("hot"), F.col("inis2")).otherwise(every)))
-    cand = left.select("kind", "key", "ini", "a").join(right.select("kind", "key", "ini", "b"), ["kind", "key", "ini"]).where("a < b").select("kind", "a", "b").distinct()
-    cand = ws.save(cand)
+    cand = left.select("kind", "key", "ini", "a").join(right.select("kind", "key", "ini", "b"), ["kind", "key", "ini"]).where("a < b").select("kind", "a", "b")
+    cand = ws.save(cand.unionByName(met_by_common(ws, names, freq, pairs, common_df)).distinct())
     n_parts = parts(cand)
     cand = cand.join(info.select("kind", F.col("name").alias("a"), F.col("toks").alias("ta"), F.col("weights").alias("wa")), ["kind", "a"]).join(info.select("kind", F.col("name").alias("b"), F.col("toks").alias("tb"), F.col("weights").alias("wb")), ["kind", "b"])
 

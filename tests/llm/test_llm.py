@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import sys
@@ -185,6 +186,31 @@ def test_edits(a, b, d):
     assert names.edits(a, b, 2) == d == names.edits(b, a, 2)
 
 
+def test_names_of_common_tokens_meet(spark):
+    """Every pair that verification accepts is found, with a hot family name and with tokens that all are common or short."""
+    given = ["robert", "robbie", "bob", "richard", "rick", "r", "maria", "marta", "thomas", "tom", "stephen", "steven", "bogdan", "robertt", "tomas", "nartha"]
+    persons = [f"{g} {m}smith" for g in given for m in ("", "j ", "q ")] + [f"{g} {f}" for g in given for f in ("smyth", "jones", "kowalski", "smitth")]
+    persons += ["lee, max", "max lee", "xu smith", "smith xu", "li wei", "wei li", "robertson", "robert"]
+    firms = [f"{a} {b} {c}".strip() for a in ("national", "natl", "general", "first") for b in ("bank", "trading", "tradng") for c in ("", "group", "grp", "services")] + ["abc mfg", "abc manufacturing", "first national bank trust", "national bank trust", "bank", "banks"]
+    rows = [(f"{k}{i}", n, k) for k, every in (("person", persons), ("organization", firms)) for i, n in enumerate(every)]
+    df = spark.createDataFrame(rows, "id string, name string, type string")
+    _, links = names.linked(df, F.col("id"), F.col("name"), F.col("type"), common_df=3)
+    got = {tuple(r) for r in links.collect()}
+    toks = {(k, n): names.tokens(n, k) for _, n, k in rows}
+    df_of = {}
+    for (k, n), t in toks.items():
+        for x in set(t):
+            df_of[k, x] = df_of.get((k, x), 0) + 1
+    want = set()
+    for (k, a), (j, b) in combinations(sorted(toks), 2):
+        if k == j:
+            w = {x: math.log(1 + len(toks) / df_of[k, x]) for x in [*toks[k, a], *toks[k, b]]}
+            if (names.same_person if k == "person" else names.same_organisation)(toks[k, a], toks[k, b], w):
+                want.add((k, a, b))
+    assert {("person", "robbie smith", "robert smith"), ("person", "lee, max", "max lee")} <= want and len(want) > 500
+    assert got == want, (sorted(want - got)[:10], sorted(got - want)[:10])
+
+
 def test_names_end_to_end(spark):
     people = [("1", "Robert Holtberg"), ("2", "Bob Holtbreg"), ("3", "Susan Holtberg"), ("4", "Robert Holtberg"), ("5", None), ("6", ""), ("7", "Zed")]
     df = spark.createDataFrame([(i, n, "person") for i, n in people] + [("8", "Robert Holtberg", "concept"), ("9", "Robert Holtberg", "organization")], "id string, name string, type string").withColumn("kind", F.lit("clash")).withColumn("a", F.lit(1))

@@ -3,7 +3,8 @@
 Every item is cut into windows of as many words as the shortest passage that counts as a leak.  Windows of items and documents
 get SimHash fingerprints; the fingerprint is cut into radius + 1 blocks, so that any two within the radius agree in a
 block; candidates that agree are compared in full and then verified on their words.  Equal passages have equal fingerprints, so none
-is lost.  Items are the fixed side and travel to the executors; documents are read once, whole, and never shuffled.
+is lost.  Passages with changed words have fingerprints far apart; their candidates are windows that share one of the item window's
+heaviest words (`Anchors`).  Items are the fixed side and travel to the executors; documents are read once, whole, and never shuffled.
 """
 
 from __future__ import annotations
@@ -100,11 +101,63 @@ class ItemIndex:
         return both[0], both[1]
 
 
+class Anchors:
+    """Item windows by their heaviest words, of which a similar passage must have one.
+
+    Words of a window that differ weigh at most 1 - similarity of it; its heaviest words that together weigh more can't all differ.
+    """
+
+    def __init__(self, words: np.ndarray, weights: np.ndarray, similarity: float):
+        self.words, self.weights, self.least = words, weights, similarity * weights.sum(axis=1) - 1e-9
+        order = np.argsort(-weights, axis=1, kind="stable")
+        before = np.cumsum(np.take_along_axis(weights, order, 1), axis=1) - np.take_along_axis(weights, order, 1)
+        c, rank = np.nonzero(before <= (weights.sum(axis=1) - self.least)[:, None])
+        at = order[c, rank]
+        by = np.argsort(words[c, at], kind="stable")
+        self.key, self.window, self.at = words[c, at][by], c[by], at[by]
+        self.vocabulary = np.unique(words)
+        self.bit = words & np.uint64(63)
+
+    def near(self, h: np.ndarray, owner: np.ndarray, most: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in h, window of the items, similarity) in portions: the item's words that a document's window holds in the same order, by weight."""
+        width = self.words.shape[1]
+        windows = np.lib.stride_tricks.sliding_window_view(h, width)
+        # A bit for every word that items have: what a window's bits lack, it lacks.
+        known = self.vocabulary[np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)] == h
+        bits = np.where(known, np.uint64(1) << (h & np.uint64(63)), np.uint64(0))
+        held = np.bitwise_or.reduce(np.lib.stride_tricks.sliding_window_view(bits, width), axis=1)
+        lo, hi = np.searchsorted(self.key, h, "left"), np.searchsorted(self.key, h, "right")
+        ends = np.cumsum(hi - lo)
+        for first in range(0, int(ends[-1]), most):
+            k = np.arange(first, min(first + most, int(ends[-1])))
+            j = np.searchsorted(ends, k, "right")
+            entry = hi[j] - (ends[j] - k)
+            a, c = j - self.at[entry], self.window[entry]
+            ok = (a >= 0) & (a < len(windows))
+            a, c = a[ok], c[ok]
+            ok = owner[a] == owner[a + width - 1]
+            a, c = a[ok], c[ok]
+            ok = (((held[a][:, None] >> self.bit[c]) & np.uint64(1)) * self.weights[c]).sum(axis=1) >= self.least[c]
+            a, c = a[ok], c[ok]
+            equal = self.words[c][:, :, None] == windows[a][:, None, :]
+            ok = (equal.any(axis=2) * self.weights[c]).sum(axis=1) >= self.least[c]  # whatever the order
+            a, c, equal = a[ok], c[ok], equal[ok]
+            best = np.zeros((width + 1, len(a)))
+            for i in range(width):
+                now = np.zeros_like(best)
+                for x in range(width):
+                    now[x + 1] = np.maximum(np.maximum(best[x + 1], now[x]), np.where(equal[:, i, x], best[x] + self.weights[c, i], 0))
+                best = now
+            ok = best[width] >= self.least[c]
+            yield a[ok], c[ok], best[width][ok] / self.weights[c[ok]].sum(axis=1)
+
+
 def find(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, width: int = 12, radius: int = 3, similarity: float = 1.0, batch_words: int = 200_000) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, best): documents with windows of an item.
 
-    similarity: least weighted share of equal words at equal places in a window (words weigh more the fewer items have them);
-    1.0 asks for equal passages.  windows counts the item's windows found, best is the largest similarity.
+    similarity: least weighted share of an item window's words that a document's window of as many words holds in the same order (words
+    weigh more the fewer items have them); 1.0 asks for equal passages.  Below 1.0 all passages with changed words are found, and those with words
+    put in or left out where the windows, laid over each other at one of the item window's heaviest words, are similar enough; `radius` is then not used.  windows counts the item's windows found, best is the largest similarity.
     Items of fewer than `width` words have no windows; null and empty texts give none; a document id that occurs twice
     gives its rows once, with the larger figures.
     """
@@ -119,10 +172,11 @@ def find(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_i
             of_word.setdefault(int(x), set()).add(int(o))
     n_items = max(1, len(rows))
     weights = np.vectorize(lambda x: np.log(1 + n_items / len(of_word[int(x)])), otypes=[float])(index.words) if len(index.words) else np.empty((0, width))
-    shared = spark.sparkContext.broadcast((index, weights))
+    anchors = Anchors(index.words, weights, similarity) if similarity < 1 else None
+    shared = spark.sparkContext.broadcast((index, weights, anchors))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, weights = shared.value
+        index, weights, anchors = shared.value
         known = Hasher()
         out: list[tuple[int, int, int, float]] = []
 
@@ -133,20 +187,25 @@ def find(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_i
             owner = np.repeat(np.arange(len(ids)), [len(x) for x in hs])
             if len(h) < width:
                 return
-            p = simhash(h, width)
-            whole = np.flatnonzero(owner[: len(p)] == owner[width - 1 :])  # windows within one document
-            a, c = index.near(p[whole])
-            if not len(a):
-                return
-            a = whole[a]
-            same = np.lib.stride_tricks.sliding_window_view(h, width)[a] == index.words[c]
-            sim = (same * weights[c]).sum(axis=1) / weights[c].sum(axis=1)
-            ok = sim >= similarity - 1e-9
+            if anchors is None:
+                p = simhash(h, width)
+                whole = np.flatnonzero(owner[: len(p)] == owner[width - 1 :])  # windows within one document
+                a, c = index.near(p[whole])
+                if not len(a):
+                    return
+                a = whole[a]
+                same = np.lib.stride_tricks.sliding_window_view(h, width)[a] == index.words[c]
+                sim = (same * weights[c]).sum(axis=1) / weights[c].sum(axis=1)
+                ok = sim >= similarity - 1e-9
+                portions = [(a[ok], c[ok], sim[ok])]
+            else:
+                portions = anchors.near(h, owner)
             found: dict[tuple[int, int], tuple[set[int], float]] = {}
-            for d, o, w, s in zip(owner[a[ok]], index.owner[c[ok]], index.at[c[ok]], sim[ok]):
-                seen, best = found.get((int(d), int(o)), (set(), 0.0))
-                seen.add(int(w))
-                found[int(d), int(o)] = (seen, max(best, float(s)))
+            for a, c, sim in portions:
+                for d, o, w, s in zip(owner[a], index.owner[c], index.at[c], sim):
+                    seen, best = found.get((int(d), int(o)), (set(), 0.0))
+                    seen.add(int(w))
+                    found[int(d), int(o)] = (seen, max(best, float(s)))
             out.extend((ids[d], o, len(w), s) for (d, o), (w, s) in found.items())
 
         ids: list[int] = []

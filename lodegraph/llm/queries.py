@@ -115,7 +115,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_similar(spark: SparkSession, d: str) -> DataFrame:
-    """Also passages with changed words whose fingerprints stay within the radius, and how much of each item a document holds."""
+    """Also passages with changed words, and how much of each item a document holds."""
     return _leaks(spark, d, similarity=0.8).withColumn("share_of_item", F.round(F.col("windows") / F.col("item_windows"), 6))
 
 

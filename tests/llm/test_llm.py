@@ -344,6 +344,37 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.find(df, F.col("doc_id"), F.col("text"), it.where("false"), F.col("item_id"), F.col("text")).count() == 0
 
 
+def test_leaks_with_changed_words_equal_brute_force(spark):
+    """All passages with equal words at equal places that weigh enough are found, and one with a word put in."""
+    r = random.Random(5)
+    vocab = [f"t{i}" for i in range(400)]
+    items = [(i, " ".join(r.choice(vocab[: 60 if i % 3 else 400]) for _ in range(24))) for i in range(40)]
+    docs = []
+    for d in range(160):
+        src = items[d % 40][1].split()
+        for place in range(d % 11, 24, r.choice([4, 6, 11])):
+            src[place] = r.choice(vocab)
+        docs.append((d, " ".join(r.choice(vocab) for _ in range(20)) + " " + " ".join(src) + " end"))
+    whole = items[0][1].split()[:12]
+    docs.append((900, " ".join([*whole[:7], "inserted", *whole[7:]])))
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["best"] for x in leaks.find(df, F.col("doc_id"), F.col("text"), it, F.col("item_id"), F.col("text"), similarity=0.8, batch_words=900).collect()}
+    has = Counter(w for _, t in items for w in set(t.split()))
+    want = {}
+    for d, t in docs:
+        w = t.split()
+        for i, u in items:
+            v = u.split()
+            for a in range(len(v) - 11):
+                weight = [math.log(1 + len(items) / has[x]) for x in v[a : a + 12]]
+                for b in range(len(w) - 11):
+                    share = sum(g for g, x, y in zip(weight, v[a : a + 12], w[b : b + 12]) if x == y) / sum(weight)
+                    if share >= 0.8:
+                        want[d, i] = max(want.get((d, i), 0), share)
+    assert len(want) > 80 and set(want) <= set(got) and all(got[k] >= x - 1e-6 for k, x in want.items())
+    assert (900, 0) in got and len(set(got) - set(want)) <= 0.1 * len(want)
+
+
 def test_multi_index_guarantees_the_radius():
     r = np.random.default_rng(3)
     index = leaks.ItemIndex([(1, " ".join(f"a{i}" for i in range(60)))], 12, 3)

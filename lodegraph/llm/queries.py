@@ -47,7 +47,7 @@ def p1_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     n = table(spark, d, "nodes").select("id", "name", "content")
-    return near.linked(near.word_sets(n, F.col("id"), [F.col("name"), F.col("content")]))
+    return near.linked(near.word_sets(n, F.col("id"), [F.col("name"), F.col("content")]), share_of_blocks=1.0)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

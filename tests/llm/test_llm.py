@@ -85,6 +85,22 @@ def test_near_equals_brute_force(spark, seed, rare_df, share):
     assert per["copy1"] == 3 and "short" not in per
 
 
+def test_near_duplicates_of_common_words_are_certain(spark, tmp_path):
+    """The registered query on records that share common words only and are as far apart as a link allows."""
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(1500):
+        a = r.sample(vocab, 28)
+        b = a[5:] + r.sample([w for w in vocab if w not in a], 4)
+        rows += [(f"a{i}", None, " ".join(a)), (f"b{i}", None, " ".join(b))]
+    spark.createDataFrame(rows, "id string, name string, content string").write.parquet(str(tmp_path / "nodes.parquet"))
+    got = {(x["a_id"], x["b_id"]) for x in queries.p2_found(spark, str(tmp_path)).collect()}
+    sets = [(i, set(t.split())) for i, _, t in rows]
+    want = {tuple(sorted((a, b))) for (a, x), (b, y) in combinations(sets, 2) if len(x & y) >= 0.7 * len(x | y)}
+    assert len(want) >= 1500 and got == want, (len(want), len(got & want))
+
+
 def test_near_empty_and_frequent_keys(spark):
     e = spark.createDataFrame([], "id string, text string")
     m, links = near.linked(near.word_sets(e, F.col("id"), [F.col("text")]))

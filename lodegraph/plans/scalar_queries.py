@@ -163,7 +163,7 @@ def b24_novelty(spark, d):
 def b25_absorbed(spark, d):
     """Contents with a novel one appended, trimmed by sentences; checked in the tests."""
     n = table(spark, d, "nodes")
-    return n.select("id", X.absorbed(F.substring("content", 1, 200), F.substring_index("content", ". ", -1)).alias("content"))
+    return n.select("id", X.absorbed(c("content"), F.substring_index("content", ". ", -1)).alias("content"))
 
 
 @R.query()

@@ -144,3 +144,12 @@ def test_tolerant_json(spark):
 @pytest.mark.parametrize("path, kind, want", [("README.md", None, "note"), ("IDENTITY.md", None, "identity"), ("people/README.md", None, "readme"), ("people/a.md", "artifact", "person"), ("other/a.md", "Recipe", "recipe"), ("other/a.md", None, "note")])
 def test_kinds(spark, path, kind, want):
     assert one(spark, X.file_kind(F.col("p"), F.col("k")), p=path, k=kind) == want
+
+
+def test_absorbed_query_reads_whole_contents(spark, tmp_path):
+    from lodegraph.plans import catalogue
+
+    text = "The harbour opens early. " * 20 + "Boats leave at noon. Quartz lanterns shine brightly tonight"
+    spark.createDataFrame([("n1", text)], "id string, content string").write.parquet(str(tmp_path / "nodes.parquet"))
+    got = catalogue.queries()["b25_absorbed"](spark, str(tmp_path)).first()["content"]
+    assert "Boats leave at noon" in got

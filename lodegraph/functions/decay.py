@@ -16,6 +16,9 @@ DEMOTED_DAYS = 60.0
 DELETE_AFTER_DAYS = 7.0
 DAY = 86400.0
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+# Patterns of a date or a range of days, and of a promise with a date.
+NAMED_DATE = r"\b([A-Za-z]{3,9})\.? (\d{1,2})(?:\s*[-–]\s*(\d{1,2}))?(?:st|nd|rd|th)?(?:,? ((?:19|20)\d\d))?\b"
+PROMISED = r"(?i)\b(?:will|is going to|is scheduled to|is expected to)\b[^.;]{0,80}?\bon ([A-Za-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?(?:,? (\d{4}))?"
 
 INF = float("inf")
 
@@ -30,9 +33,8 @@ def _month(word: Column) -> Column:
 
 def upcoming(content: Column, as_of: float) -> Column:
     """A date named in the text is not before the day of `as_of` (UTC); a range counts its end, a missing year is this one."""
-    rx = r"\b([A-Za-z]{3,9})\.? (\d{1,2})(?:\s*[-–]\s*(\d{1,2}))?(?:st|nd|rd|th)?(?:,? ((?:19|20)\d\d))?\b"
     text = F.coalesce(content, F.lit(""))
-    got = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(rx), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3, 4)])
+    got = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(NAMED_DATE), F.lit(g)).alias(f"g{g}") for g in (1, 2, 3, 4)])
     today = F.to_date(F.timestamp_seconds(F.lit(as_of)))
 
     def ahead(x: Column) -> Column:
@@ -68,9 +70,8 @@ def edge_half_life(count: Column) -> Column:
 
 def passed_date(content: Column, as_of: float) -> Column:
     """The first future-tense phrase with a date, if that date is before the day of `as_of`; else null."""
-    rx = r"(?i)\b(?:will|is going to|is scheduled to|is expected to)\b[^.;]{0,80}?\bon ([A-Za-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?(?:,? (\d{4}))?"
     text = F.coalesce(content, F.lit(""))
     today = F.to_date(F.timestamp_seconds(F.lit(as_of)))
-    m, d, y = (F.regexp_extract(text, rx, g) for g in (1, 2, 3))
+    m, d, y = (F.regexp_extract(text, PROMISED, g) for g in (1, 2, 3))
     when = F.try_to_date(F.concat_ws("-", F.when(y != "", y).otherwise(F.year(today).cast("string")), _month(m).cast("string"), d), "yyyy-M-d")
-    return F.when(_month(m).isNotNull() & (when < today), F.concat(F.trim(F.regexp_extract(text, rx, 0)), F.lit(" (passed)")))
+    return F.when(_month(m).isNotNull() & (when < today), F.concat(F.trim(F.regexp_extract(text, PROMISED, 0)), F.lit(" (passed)")))

@@ -151,10 +151,11 @@ def absorbed(old: Column, new: Column, most: int = 600) -> Column:
     return F.when((n == "") | (F.lower(n) == F.lower(o)) | ~novel(old, new), F.coalesce(old, F.lit(""))).otherwise(F.when(F.length(joined) <= most, joined).otherwise(fit))
 
 
-def cut(x: Column, limit: int) -> Column:
+def cut(x: Column, limit: Column | int) -> Column:
     """At most `limit` characters, ending at the last line, sentence, clause or word end past 60 % of it, and marked."""
-    head = F.substring(x, 1, max(limit - 2, 1))
-    least = int(limit * 0.6)
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
+    head = F.substring(x, F.lit(1), F.greatest(limit - 2, F.lit(1)).cast("int"))
+    least = F.floor(limit * 6 / 10)
     out = None
     for sep in ("\n", ". ", "; ", ", ", " "):
         at = F.length(head) - F.length(F.substring_index(head, sep, -1)) - len(sep)  # place of the last one, from 0
@@ -164,17 +165,24 @@ def cut(x: Column, limit: int) -> Column:
     return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.regexp_replace(out.otherwise(head), r"\s+$", ""), F.lit(" …")))
 
 
-def window(line: Column, tokens: Column, room: int) -> Column:
+def window(line: Column, tokens: Column, room: Column | int) -> Column:
     """A slice of at most `room` characters around the first token found, marked where it is cut."""
+    room = room if isinstance(room, Column) else F.lit(room)
     low = F.lower(line)
     places = F.filter(F.transform(tokens, lambda t: F.position(t, low)), lambda p: p > 0)
     pos = F.coalesce(F.array_min(places), F.lit(1)) - 1
-    start0 = F.greatest(F.lit(0), pos - room // 3)
+    start0 = F.greatest(F.lit(0), pos - F.floor(room / 3).cast("int"))
     end = F.least(F.length(line), start0 + room - 4)
     start = F.greatest(F.lit(0), end - (room - 4))
     return F.concat(F.when(start > 0, "…").otherwise(""), F.trim(F.substring(line, (start + 1).cast("int"), (end - start).cast("int"))), F.when(end < F.length(line), "…").otherwise(""))
 
 
+def clipped(x: Column, limit: Column | int) -> Column:
+    """At most `limit` characters, the last of them an ellipsis if something is left out."""
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
+    return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.rtrim(F.substring(x, F.lit(1), (limit - 1).cast("int"))), F.lit("…")))
+
+
 def sentences(x: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 

@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.vocab import FILE_KINDS, OTHER_KIND, lookup
 
+# Fixed value: words of a question about people.
 WHO = r"\b(?:who|whom|whose|people|persons?|friends?|colleagues?|classmates?|contacts?)\b"
 SEMANTIC_LEAST = 0.4
 SEMANTIC_ALONE = 0.5

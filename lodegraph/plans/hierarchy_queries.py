@@ -28,8 +28,13 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.paths(_links(spark, d))
 
 
+def p4_back_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links that close cycles; which link of a cycle it is follows from the walk, so the tests check what must hold of them."""
+    return hierarchy.back_links(_links(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_descendants, p4_paths)}
+    return {f.__name__: f for f in (p4_found, p4_descendants, p4_paths, p4_back_links)}
 
 
 #: All ancestors with their distances; chains longer than the number of children run in a cycle.
@@ -42,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": f"{UP_SQL} SELECT node AS node_id, anc AS root_id, CAST(d AS BIGINT) AS depth FROM ok WHERE anc NOT IN (SELECT c FROM l) UNION ALL SELECT node, 'cycle', -1 FROM cyc",
         "p4_descendants": f"{UP_SQL} SELECT node AS node_id, anc AS ancestor_id, CAST(d AS BIGINT) AS steps FROM ok",
-        "p4_paths": f"""{UP_SQL}, s AS (SELECT node, max(k) AS k, max(d) AS depth, count(*) AS levels, string_agg(a, '/' ORDER BY d DESC) AS path, max_by(a, d) AS root FROM (SELECT node, d, count(*) AS k, min(anc) AS a FROM ok GROUP BY node, d) GROUP BY node)
-            SELECT node AS node_id, root AS root_id, CAST(depth AS BIGINT) AS depth, path || '/' || node AS path FROM s WHERE k = 1 AND levels = depth""",
+        "p4_paths": f"""{UP_SQL}, pt AS (SELECT c AS node, p AS top, 1 AS d, [p, c] AS path FROM l UNION ALL SELECT pt.node, l.p, d + 1, list_prepend(l.p, path) FROM pt JOIN l ON l.c = pt.top WHERE pt.node NOT IN (SELECT node FROM cyc))
+            SELECT node AS node_id, top AS root_id, CAST(d AS BIGINT) AS depth, array_to_string(min(path), '/') AS path FROM pt WHERE node NOT IN (SELECT node FROM cyc) AND top NOT IN (SELECT c FROM l) GROUP BY node, top, d
+            UNION ALL SELECT node, 'cycle', -1, NULL FROM cyc UNION ALL SELECT DISTINCT p, p, 0, p FROM l WHERE p NOT IN (SELECT c FROM l)""",
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,12 +56,23 @@ def facts(stream: DataFrame, text: str = "text") -> DataFrame:
 def suppressed(pushes: DataFrame, hours: float = 6.0) -> DataFrame:
     """Batch form of push suppression: pushes (recipient, text, ts) without those that repeat one sent less than `hours` before.
 
-    Only sent pushes start a new silence, so the kept ones of a pair are found by a fold over its times.
+    Only sent pushes start a new silence.  A key's times pass a task in order as a stream, of which one number is
+    remembered, so a key of any length needs no memory; repeated times count once, nulls take no part.
     """
     gap = hours * 3600
-    g = pushes.groupBy("recipient", "text").agg(F.array_sort(F.collect_list("ts")).alias("ts"))
-    kept = F.aggregate("ts", F.array().cast("array<double>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(F.concat(F.array(F.lit(-1e18)), acc), -1) >= gap), F.concat(acc, F.array(t))).otherwise(acc))
-    return g.select("recipient", "text", F.explode(kept).alias("ts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sent = None, 0.0
+        for b in batches:
+            keep = []
+            for i, (r, t, ts) in enumerate(zip(*(b.column(c).to_pylist() for c in ("recipient", "text", "ts")))):
+                if (r, t) != key or ts - sent >= gap:
+                    key, sent = (r, t), ts
+                    keep.append(i)
+            yield b.take(pa.array(keep, pa.int64()))
+
+    x = pushes.select(F.col("recipient").cast("string").alias("recipient"), F.col("text").cast("string").alias("text"), F.col("ts").cast("double").alias("ts")).dropna().distinct()
+    return x.repartition("recipient", "text").sortWithinPartitions("recipient", "text", "ts").mapInArrow(run, "recipient string, text string, ts double")
 
 
 def is_quiet(ts, start: int = 23, end: int = 7):
@@ -81,12 +93,24 @@ def windows(df: DataFrame, text: str, size: int = 15_000) -> DataFrame:
     return df.where(F.length(text) > 0).select(*keep, text, F.explode(F.sequence(F.lit(0), n)).alias("window_no")).select(*keep, "window_no", F.substring(F.col(text), F.col("window_no") * size + 1, F.lit(size)).alias("piece"))
 
 
-def each_batch(apply: Callable[[DataFrame, int], None], done: set[int]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that applies every batch once: its number is remembered only after success, so a failed batch is tried again."""
+def batch_sink(out: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the number of a batch with its rows: below `out` every batch has a folder of its own, so one that is applied again, after a restart too, replaces its rows and adds none."""
+
+    def run(df: DataFrame, batch: int) -> None:
+        transform(df).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={batch}")
+
+    return run
+
+
+def each_batch(apply: Callable[[DataFrame, int], None], done: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for effects that can't be replaced: a mark in the folder `done`, which all drivers share, is set only after success.  A batch with a mark is never applied again, whoever restarts; one that failed is tried again."""
 
     def run(df: DataFrame, batch: int) -> None:
-        if batch not in done:
+        spark = df.sparkSession
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{done.rstrip('/')}/{batch}")
+        fs = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(mark):
             apply(df, batch)
-            done.add(batch)
+            fs.create(mark, True).close()
 
     return run

@@ -65,13 +65,61 @@ def graph(seed):
     return links
 
 
-@pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("most", [0, 10_000])
-def test_equals_brute_force_by_walk_and_by_doubling(spark, seed, most):
-    links = graph(seed) + [(f"x{i}", f"x{i + 1}") for i in range(70)]
-    df = H.roots_and_depths(frame(spark, links), most_edges=most)
-    rows = df.collect()
-    assert {tuple(r) for r in rows} == brute(links) and len(rows) == len(brute(links))
+def chains(links):
+    """Every node's paths to its roots, nodes that run into a cycle left out."""
+    up = {}
+    for c, p in set(links):
+        up.setdefault(c, []).append(p)
+    lost = {n for n, r, d in brute(links) if d < 0}
+    out, todo = set(), [(n, (n,)) for n in up if n not in lost]
+    while todo:
+        n, path = todo.pop()
+        for p in up.get(path[0], []):
+            out.add((n, p, (p, *path), p not in up))
+            todo.append((n, (p, *path)))
+    return out
+
+
+def reachable(links, n):
+    seen, todo = set(), [n]
+    while todo:
+        x = todo.pop()
+        for c, p in links:
+            if c == x and p not in seen:
+                seen.add(p)
+                todo.append(p)
+    return seen
+
+
+def many():
+    """Random graphs side by side, a long chain with a crowd below it, and nodes with several parents."""
+    out = [(f"g{s}{c}", f"g{s}{p}") for s in range(24) for c, p in graph(s)]
+    out += [(f"x{i}", f"x{i + 1}") for i in range(40)] + [(f"h{i}", "x9") for i in range(90)] + [("x2", "x5"), ("x1", "x4"), ("x3", "g1n1"), ("x20", "g2n0")]
+    return out
+
+
+@pytest.mark.parametrize("piece", [30, 50_000])
+def test_equals_brute_force_whatever_the_pieces(spark, piece):
+    links = many()
+    rows, back = H._solved(frame(spark, links), piece, paths=True)
+    rows, back = rows.collect(), {tuple(r) for r in back.collect()}
+    every = brute(links)
+    assert {(r["node"], r["anc"] or "cycle", r["steps"]) for r in rows} == every and len(rows) == len(every)
+    assert back and back <= set(links) and all(d >= 0 for _, _, d in brute([x for x in links if x not in back]))
+    assert all(c == p or c in reachable(links, p) for c, p in back)  # the link is on a cycle
+    want = {}
+    for n, a, p, top in chains(links):
+        if top:
+            k = (n, a, len(p) - 1)
+            want[k] = min(want.get(k, p), p)
+    assert {(r["node"], r["anc"], r["steps"]): (r["anc"], *r["path"]) for r in rows if r["anc"]} == want
+
+
+@pytest.mark.parametrize("piece", [30, 50_000])
+def test_closure_equals_brute_force(spark, piece):
+    links = many()
+    got = H.closure(frame(spark, links), piece=piece).collect()
+    assert {tuple(r) for r in got} == {(n, a, len(p) - 1) for n, a, p, _ in chains(links)} and len(got) == len({tuple(r) for r in got})
 
 
 def test_edge_cases(spark):
@@ -84,8 +132,8 @@ def test_closure_and_paths(spark):
     links = [("b", "a"), ("c", "b"), ("d", "c"), ("x", "a"), ("x", "b"), ("y", "x"), ("q", "q"), ("r", "q")]
     got = {tuple(r) for r in H.closure(frame(spark, links)).select("node_id", "ancestor_id", "steps").collect()}
     assert got == {("b", "a", 1), ("c", "b", 1), ("c", "a", 2), ("d", "c", 1), ("d", "b", 2), ("d", "a", 3), ("x", "a", 1), ("x", "b", 1), ("x", "a", 2), ("y", "x", 1), ("y", "a", 2), ("y", "b", 2), ("y", "a", 3)}
-    p = {r["node_id"]: (r["root_id"], r["depth"], r["path"]) for r in H.paths(frame(spark, links)).collect()}
-    assert p["d"] == ("a", 3, "a/b/c/d") and "x" not in p and "r" not in p
+    p = {(r["node_id"], r["root_id"], r["depth"]): r["path"] for r in H.paths(frame(spark, links)).collect()}
+    assert p["d", "a", 3] == "a/b/c/d" and p["x", "a", 1] == "a/x" and p["x", "a", 2] == "a/b/x" and p["a", "a", 0] == "a" and p["r", "cycle", -1] is None and len(p) == 10
     assert H.closure(frame(spark, [])).count() == 0
 
 

@@ -1,8 +1,10 @@
 """Problem 10: texts cut off by field limits or lost ends, and how often each source does it.
 
 For every source the histogram of lengths, in characters and in bytes, is tested for a spike at its end: many texts within a
-few units of the longest.  A text at such a length without an ending is cut.  Away from spikes the end of
-the text decides alone: it must close its sentence or be one of the line kinds that need no full stop.
+few units of the longest.  A text at such a length without terminal punctuation is cut by the limit.
+
+Texts also lose their ends in transfer, at any length, where no histogram tells.  They are a class of their own: away from
+spikes a text is cut if its end neither closes a sentence nor is one of the line kinds that need no full stop.
 """
 
 from __future__ import annotations
@@ -84,12 +86,12 @@ def spikes(df: DataFrame, source: str, lengths: list[str], near: int = 0, least:
 
 
 def flagged(df: DataFrame, rec_id: Column, text: Column, source: Column) -> DataFrame:
-    """(rec_id, source, n_chars, n_bytes, ending, at_limit, truncated) for every record.
+    """(rec_id, source, n_chars, n_bytes, ending, at_limit, cause, truncated) for every record.
 
-    Null, empty and blank texts are never truncated; records with a null source form a source of their own; repeated
-    rows are kept and judged alike.  A text at a limit is truncated unless its end is closed, trailing or a complete line; so is
-    any text whose end is open or marked as lost.  At a limit only ends that can't be cut short by chance count as a complete
-    line: whole paths and closed code fences.
+    cause: `limit` for texts at a spike of their source's lengths unless their end is closed, trailing or a complete line that can't be cut short
+    by chance (a whole path, a closed code fence); `ending` for texts off all spikes whose end is open or marked as lost; else
+    null.  truncated: there is a cause.  Null, empty and blank texts are never truncated; records with a null source
+    form a source of their own; repeated rows are kept and judged alike.
     """
     x = ends(df.select(rec_id.alias("rec_id"), source.cast("string").alias("source"), text.alias("_text")), F.col("_text"))
     base = x.select("rec_id", "source", F.length("_text").alias("n_chars"), F.octet_length("_text").alias("n_bytes"), ending().alias("ending"), F.coalesce(F.col("_last").rlike(PATH) | F.col("_last").endswith("```"), F.lit(False)).alias("_sure"), "_word")
@@ -105,9 +107,11 @@ def flagged(df: DataFrame, rec_id: Column, text: Column, source: Column) -> Data
     limits = found.groupBy("source").agg(F.collect_set(F.when(F.col("unit") == "n_chars", F.col("spike"))).alias("c"), F.collect_set(F.when(F.col("unit") == "n_bytes", F.col("spike"))).alias("b"))
     out = base.alias("x").join(limits.alias("l"), F.col("x.source").eqNullSafe(F.col("l.source")), "left")
     at = F.coalesce(F.array_contains("l.c", F.col("n_chars").cast("long")) | F.array_contains("l.b", F.col("n_bytes").cast("long")), F.lit(False))
-    return out.select("rec_id", "x.source", "n_chars", "n_bytes", "ending", at.alias("at_limit"), (F.col("ending").isin("open", "mark") | (at & (F.col("ending") == "line") & ~F.col("_sure"))).alias("truncated"))
+    by_limit = at & (F.col("ending").isin("open", "mark") | ((F.col("ending") == "line") & ~F.col("_sure")))
+    cause = F.when(by_limit, "limit").when(~at & F.col("ending").isin("open", "mark"), "ending")
+    return out.select("rec_id", "x.source", "n_chars", "n_bytes", "ending", at.alias("at_limit"), cause.alias("cause"), cause.isNotNull().alias("truncated"))
 
 
 def rates(flags: DataFrame) -> DataFrame:
-    """Per source: texts, truncated ones, those at a limit, and the share."""
-    return flags.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("truncated").alias("n_truncated"), F.count_if(F.col("truncated") & F.col("at_limit")).alias("n_at_limit"), F.round(F.count_if("truncated") / F.count("*"), 6).alias("share"))
+    """Per source: texts, truncated ones, those that a limit cut, those that lost their end otherwise, and the share."""
+    return flags.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("truncated").alias("n_truncated"), F.count_if(F.col("cause") == "limit").alias("n_at_limit"), F.count_if(F.col("cause") == "ending").alias("n_ending"), F.round(F.count_if("truncated") / F.count("*"), 6).alias("share"))

@@ -3,8 +3,9 @@
 Every item is cut into windows of as many words as the shortest passage that counts as a leak.  Windows of items and documents
 get SimHash fingerprints; the fingerprint is cut into radius + 1 blocks, so that any two within the radius agree in a
 block; candidates that agree are compared in full and then verified on their words.  Equal passages have equal fingerprints, so none
-is lost.  Passages with changed words have fingerprints far apart; their candidates are windows that share one of the item window's
-heaviest words (`Anchors`).  Items are the fixed side and travel to the executors; documents are read once, whole, and never shuffled.
+is lost, and where only those are asked for, windows with a word that no item has get no fingerprint.  Passages with changed words have fingerprints far apart; their candidates are windows that share one of the item window's
+heaviest words (`Anchors`).  Items travel to the executors in portions of bounded size, as many as there are; documents are read whole, once
+for each portion, and never shuffled.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.words import WORD_PY
+from ..functions.words import WORD_PY, words
+from ..workspace import Workspace
 
 WORD = re.compile(WORD_PY)
-MAX_ITEM_WORDS = 50_000_000  # words of all items: what a driver and a task can hold; checked
+#: Characters of the items that travel at once: what a driver and a task can hold.  More items go in several portions.
+PORTION = 20_000_000
 
 
 class Hasher(dict):
@@ -38,6 +41,12 @@ def hashes(text: str, known: Hasher) -> np.ndarray:
     return np.array([known[w] for w in WORD.findall(text.lower())], dtype=np.uint64)
 
 
+def listed(text: str, vocabulary: dict[str, int]) -> np.ndarray:
+    """As `hashes`, with 0 for words outside the vocabulary."""
+    get = vocabulary.get
+    return np.array([get(w, 0) for w in WORD.findall(text.lower())], dtype=np.uint64)
+
+
 def simhash(h: np.ndarray, width: int) -> np.ndarray:
     """Fingerprints of all windows of `width` words: bit b is the majority of bit b over the window's words."""
     if len(h) < width:
@@ -49,11 +58,21 @@ def simhash(h: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(up, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def simhash_rows(h: np.ndarray) -> np.ndarray:
+    """Fingerprints of windows that are given as rows of word hashes."""
+    out = np.empty(len(h), np.uint64)
+    for i in range(0, len(h), 50_000):
+        part = np.ascontiguousarray(h[i : i + 50_000])
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(len(part), part.shape[1], 8), axis=2, bitorder="little")
+        out[i : i + 50_000] = np.packbits(bits.sum(axis=1, dtype=np.int16) * 2 > part.shape[1], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 class ItemIndex:
     """Fingerprints of item windows in one sorted table per block."""
 
     def __init__(self, items: list[tuple[int, str]], width: int, radius: int):
-        known = Hasher()
+        self.vocabulary = known = Hasher()
         self.width, self.radius, self.blocks = width, radius, radius + 1
         self.edges = np.linspace(0, 64, self.blocks + 1).astype(int)
         prints, owner, at, words = [], [], [], []
@@ -161,22 +180,50 @@ def find(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_i
     Items of fewer than `width` words have no windows; null and empty texts give none; a document id that occurs twice
     gives its rows once, with the larger figures.
     """
-    rows = items.select(item_id.cast("long").alias("i"), item_text.alias("t")).where("i is not null and t is not null").dropDuplicates().collect()  # the fixed side; its size is checked next
-    if sum(len(r["t"]) for r in rows) > MAX_ITEM_WORDS * 4:
-        raise ValueError("the items are too many to travel to every task")
     spark = docs.sparkSession
-    index = ItemIndex([(r["i"], r["t"]) for r in rows], width, radius)
-    of_word: dict[int, set[int]] = {}
-    for w, o in zip(index.words, index.owner):
-        for x in w:
-            of_word.setdefault(int(x), set()).add(int(o))
-    n_items = max(1, len(rows))
-    weights = np.vectorize(lambda x: np.log(1 + n_items / len(of_word[int(x)])), otypes=[float])(index.words) if len(index.words) else np.empty((0, width))
+    clean = items.select(item_id.cast("long").alias("i"), item_text.alias("t")).where("i is not null and t is not null").dropDuplicates()
+    size = clean.agg(F.sum(F.length("t")).alias("chars"), F.count("*").alias("n"), F.max(F.length("t")).alias("top")).first()
+    if not size["n"]:
+        return spark.createDataFrame([], "doc_id long, item_id long, windows long, item_windows long, best double")
+    # Weights of words are those of all items, whatever the portions.
+    n_items = size["n"]
+    portions = 1 if size["chars"] <= PORTION else -(-2 * size["chars"] // PORTION)
+    part = clean.withColumn("_p", F.pmod(F.xxhash64("i"), F.lit(portions)))
+    of_word = clean.select(F.explode(F.array_distinct(words(F.col("t")))).alias("w")).groupBy("w").agg(F.count("*").alias("df")) if portions > 1 and similarity < 1 else None
+    ws = Workspace(spark, "leaks")
+    out = None
+    for p in range(portions):
+        own = part.where(F.col("_p") == p)
+        rows = own.select("i", "t").collect()  # about half of PORTION characters, or one item
+        df = None
+        if of_word is not None:
+            mine = own.select(F.explode(F.array_distinct(words(F.col("t")))).alias("w")).distinct()
+            df = {xxhash.xxh64_intdigest(r["w"]): r["df"] for r in of_word.join(mine, "w", "left_semi").collect()}  # no more than the portion has words
+        got = _scanned(docs, doc_id, text, [(r["i"], r["t"]) for r in rows], n_items, df, width, radius, similarity, batch_words)
+        if portions > 1:
+            got = ws.save(got)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _scanned(docs: DataFrame, doc_id: Column, text: Column, items: list[tuple[int, str]], n_items: int, df: dict[int, int] | None, width: int, radius: int, similarity: float, batch_words: int) -> DataFrame:
+    """`find` for one portion of the items; df: how many of all items have a word, by its hash, if these aren't all."""
+    spark = docs.sparkSession
+    index = ItemIndex(items, width, radius)
+    if df is None:
+        of_word: dict[int, set[int]] = {}
+        for w, o in zip(index.words, index.owner):
+            for x in w:
+                of_word.setdefault(int(x), set()).add(int(o))
+        df = {x: len(o) for x, o in of_word.items()}
+    weights = np.vectorize(lambda x: np.log(1 + n_items / df.get(int(x), 1)), otypes=[float])(index.words) if len(index.words) else np.empty((0, width))
     anchors = Anchors(index.words, weights, similarity) if similarity < 1 else None
-    shared = spark.sparkContext.broadcast((index, weights, anchors))
+    vocabulary = dict(index.vocabulary)
+    index.vocabulary = None
+    shared = spark.sparkContext.broadcast((index, weights, anchors, vocabulary if anchors is None else None))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, weights, anchors = shared.value
+        index, weights, anchors, vocabulary = shared.value
         known = Hasher()
         out: list[tuple[int, int, int, float]] = []
 
@@ -188,9 +235,14 @@ def find(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_i
             if len(h) < width:
                 return
             if anchors is None:
-                p = simhash(h, width)
-                whole = np.flatnonzero(owner[: len(p)] == owner[width - 1 :])  # windows within one document
-                a, c = index.near(p[whole])
+                # Windows within one document all of whose words some item has.
+                unknown = np.cumsum(h == 0)
+                inside = np.r_[unknown[width - 1], unknown[width:] - unknown[:-width]] == 0
+                whole = np.flatnonzero(inside & (owner[: len(inside)] == owner[width - 1 :]))
+                if not len(whole):
+                    return
+                spread = whole[:, None] + np.arange(width)
+                a, c = index.near(simhash_rows(h[spread]))
                 if not len(a):
                     return
                 a = whole[a]
@@ -214,7 +266,7 @@ def find(docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_i
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(i)
-                hs.append(hashes(t, known))
+                hs.append(hashes(t, known) if vocabulary is None else listed(t, vocabulary))
                 n += len(hs[-1])
                 if n >= batch_words:
                     flush(ids, hs)

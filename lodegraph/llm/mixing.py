@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import Workspace
+
 #: Where the public tokenizers' files are; a parameter of everything below.
 TOKENIZERS = os.environ.get("LODEGRAPH_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the split pattern published with the byte-level vocabulary.
@@ -83,6 +85,12 @@ def temperature(sizes: Sequence[int], repeats: Sequence[int], budget: float, tar
     return e, tempered(shares, e)
 
 
+def for_entropy(shares: Sequence[float], target_entropy: float) -> tuple[float, list[float]]:
+    """Exponent and weights of shares whose entropy is the target's; an exponent above 1 is not looked for."""
+    e = bisect_exponent(shares, lambda w: entropy(w) <= target_entropy + 1e-12)
+    return e, tempered(shares, e)
+
+
 def source_sizes(docs: DataFrame, targets: DataFrame) -> list[dict]:
     """Per target source: share, max_repeats, texts and tokens.  One row per source of the targets, which are few by nature and checked to be."""
     sums = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("texts"))
@@ -92,28 +100,45 @@ def source_sizes(docs: DataFrame, targets: DataFrame) -> list[dict]:
     return [r.asDict() for r in rows]
 
 
-def plan(sizes: list[dict], budget: float | None = None, exponent: float = 1.0) -> list[dict]:
+def plan(sizes: list[dict], budget: float | None = None, target_entropy: float | None = None) -> list[dict]:
     """Token budgets per source.
 
-    Weights are the target shares raised to the exponent.  A source that can't fill its budget within max_repeats is
-    `short`: it gives all it may, and the shortfall is not passed on to others, so the mixture is smaller and the shares
-    really reached say so.  The budget defaults to the size of all texts of the sources, each counted once.
+    Weights are the target shares at the temperature that meets `target_entropy`, by default that of the target shares themselves.
+    A source that can't fill its budget within max_repeats is `short`: it gives all it may, and the shortfall is not
+    passed on to others, so the mixture is smaller and the shares really reached say so (`held_budget` is the largest budget
+    at which none is short).  The budget defaults to the size of all texts of the sources, each counted once.
     """
     total = float(sum(s["tokens"] for s in sizes)) if budget is None else float(budget)
+    shares = [s["target_share"] or 0.0 for s in sizes]
+    whole = sum(shares)
+    shares = [s / whole if whole else 0.0 for s in shares]
+    _, weights = for_entropy(shares, entropy(shares) if target_entropy is None else target_entropy)
     out = []
-    for s, w in zip(sizes, tempered([s["target_share"] or 0.0 for s in sizes], exponent)):
+    for s, w in zip(sizes, weights):
         most = s["tokens"] * max(0, s["max_repeats"] or 0)
         want = w * total
         out.append(s | {"weight": w, "budget": total, "want": want, "most": most, "short": most < want, "take": min(want, float(most))})
     return out
 
 
+def held_budget(sizes: list[dict]) -> float:
+    """The largest budget at which every source with texts reaches its share of it; sources without any can't at any budget and don't count."""
+    limits = [s["tokens"] * max(0, s["max_repeats"] or 0) / s["target_share"] for s in sizes if (s["target_share"] or 0) > 0 and s["tokens"]]
+    return float(min(limits, default=0.0))
+
+
+#: Rounds in which a budget is filled up by single texts, and the share of it that may be missing after fewer.
+ROUNDS, MISSING = 6, 0.001
+
+
 def realise(docs: DataFrame, plans: list[dict], rec_id: str = "doc_id", seed: int = 17) -> DataFrame:
     """(rec_id, source, n_tokens, uses): how often each text is used.
 
     A source's budget is floor(budget / size) whole permutations plus the opening of one more: texts are ordered by a
-    seeded hash, taken until the rest of the budget is met (the text that crosses it is left out).  Sums run over hash
+    seeded hash and taken until the rest of the budget is met (the text that crosses it is left out).  Sums run over hash
     blocks first, and only the one block that holds the crossing is ordered row by row, so no task sees a whole source.
+    What is still missing is filled up by the unused text whose size is nearest to it, one a source and round, as long as that
+    brings the source nearer to its budget.
     """
     spark = docs.sparkSession
     rows = []
@@ -133,7 +158,30 @@ def realise(docs: DataFrame, plans: list[dict], rec_id: str = "doc_id", seed: in
     run = F.sum("n_tokens").over(W.partitionBy("source", "_b").orderBy("_h", rec_id).rowsBetween(W.unboundedPreceding, 0))
     crossing = x.where("not _all and not _none").withColumn("_run", run + F.col("_before"))
     edge = crossing.select(rec_id, "source", "n_tokens", (F.col("whole") + (F.col("_run") <= F.col("rest")).cast("int")).alias("uses"))
-    return done.unionByName(edge).where("uses > 0")
+    laid = Workspace(spark, "mixture").save(done.unionByName(edge))
+    got = {r["source"]: float(r["t"] or 0) for r in laid.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("t")).collect()}  # one row per target source
+    missing = {p["source"]: p["take"] - got.get(p["source"], 0.0) for p in plans}
+    spare = {p["source"]: whole for p, (_, whole, _) in zip(plans, rows) if whole < max(0, p["max_repeats"] or 0)}
+    extra: list[tuple[str, int]] = []
+    for _ in range(ROUNDS):
+        todo = [(s, w, missing[s]) for s, w in spare.items() if missing[s] > max(1.0, MISSING * next(p["take"] for p in plans if p["source"] == s))]
+        if not todo:
+            break
+        # At most one row a target source and round travels.
+        open_ = F.broadcast(spark.createDataFrame(todo, "source string, whole int, miss double"))
+        free = laid.join(open_, "source").where((F.col("uses") == F.col("whole")) & (F.col("n_tokens") < 2 * F.col("miss")) & (F.col("n_tokens") > 0))
+        if extra:
+            free = free.join(F.broadcast(spark.createDataFrame(extra, f"source string, {rec_id} {laid.schema[rec_id].dataType.simpleString()}")), ["source", rec_id], "left_anti")
+        best = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("n_tokens") - F.col("miss")).alias("off"), F.col(rec_id).alias("rec"), "n_tokens")).alias("b")).collect()
+        if not best:
+            break
+        for r in best:
+            extra.append((r["source"], r["b"]["rec"]))
+            missing[r["source"]] -= r["b"]["n_tokens"]
+    if extra:
+        more = F.broadcast(spark.createDataFrame(extra, f"source string, {rec_id} {laid.schema[rec_id].dataType.simpleString()}").withColumn("_more", F.lit(1)))
+        laid = laid.join(more, ["source", rec_id], "left").select(rec_id, "source", "n_tokens", (F.col("uses") + F.coalesce("_more", F.lit(0))).alias("uses"))
+    return laid.where("uses > 0")
 
 
 def prepared(df: DataFrame, rec_id: str, text: str, source: str, targets: DataFrame, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> tuple[DataFrame, DataFrame]:

@@ -137,20 +137,40 @@ def soft_similarity(a: list[str], b: list[str], weight: dict[str, float], kind:
     return got / max(1e-9, min(wa, wb)), 2 * got / max(1e-9, wa + wb), match
 
 
+#: How much more the rarest token of a name may weigh than an ordinary one, and the least similarity of two names of one person.
+HEAVIEST, LEAST_PERSON = 3.0, 0.74
+
+
+def person_similarity(a: list[str], b: list[str], weight: dict[str, float]) -> tuple[float, int]:
+    """Soft weighted similarity of two names of persons, and how many tokens match.
+
+    The weight of matched tokens by how alike they are, as a share of the weight of the name that has less to match.  Rare
+    tokens (family names) weigh up to three times as much as common ones (given names), initials as little as the commonest.
+    Tokens of that name that nothing matches count as nothing.
+    """
+    _, _, match = soft_similarity(a, b, weight, "person")
+    lightest = min(weight.get(t, 1.0) for t in (*a, *b))
+    w = lambda t: 1.0 if len(t) == 1 else min(HEAVIEST, max(1.0, weight.get(t, 1.0) / lightest))
+    short = lambda x, y: len(x) == 1 or len(y) == 1
+    pair = lambda x, y: 1.0 if short(x, y) else max(w(x), w(y))
+    got = sum(s * pair(x, y) for x, y, s in match)
+
+    def whole(name: list[str], side: int) -> float:
+        left, total = list(name), 0.0
+        for m in match:
+            left.remove(m[side])
+            total += w(m[side]) if short(m[0], m[1]) else pair(m[0], m[1])
+        return total + sum(w(t) if len(t) > 1 else 0.5 for t in left)
+
+    return got / max(1e-9, min(whole(a, 0), whole(b, 1))), len(match)
+
+
 def same_person(a: list[str], b: list[str], weight: dict[str, float]) -> bool:
-    """Family names agree, given names don't contradict each other, and something besides the family name agrees."""
+    """The same tokens in any order, or two matches at least (a family name alone is nobody's) and enough similarity."""
     if sorted(a) == sorted(b):
         return True
-    _, _, match = soft_similarity(a, b, weight, "person")
-    full = [(x, y, s) for x, y, s in match if len(x) > 1 and len(y) > 1]
-    if not full or len(match) < 2:
-        return False
-    # All names in full of the side that has fewer must match in full: an initial stands for a given name, not for a family name.
-    if len(full) < min(sum(len(t) > 1 for t in a), sum(len(t) > 1 for t in b)):
-        return False
-    # The family name is the match that weighs most and is no known given name.
-    family = max(full, key=lambda m: (not ({m[0], m[1]} & KNOWN_GIVEN), weight.get(m[0], 1.0) + weight.get(m[1], 1.0)))
-    return len(family[0]) >= 4 and len(family[1]) >= 4
+    score, n = person_similarity(a, b, weight)
+    return n >= 2 and score >= LEAST_PERSON
 
 
 def same_organisation(a: list[str], b: list[str], weight: dict[str, float]) -> bool:
@@ -281,40 +301,31 @@ def met_by_common(ws: Workspace, names: DataFrame, freq: DataFrame, pairs: DataF
     return met.select("kind", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def linked(df: DataFrame, rec_id: Column, name: Column, kind: Column, common_df: int | None = None, frequent: int = 200) -> tuple[DataFrame, DataFrame]:
+def linked(df: DataFrame, rec_id: Column, name: Column, kind: Column, common_df: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Membership (id, kind, name) and links (kind, a, b) between distinct names, a < b.
 
     common_df: tokens in more distinct names than this are common (given names, kinds of organisations) and bring names
-    together only two by two, or with an initial (`met_by_common`), unless a name has no other.  Of tokens in more than `frequent` names only names that also share an initial of another token meet.
+    together only two by two, or with an initial (`met_by_common`).  The default is a four-hundredth of all names, between 20 and
+    200, so no rare token brings more than 200 names together however many there are.
     Equal spellings are one name; nothing is capped; empty input gives empty tables.
     """
     ws = Workspace(df.sparkSession, "names")
     members, names = distinct_names(df, rec_id, name, kind)
     members, names = ws.save(members), ws.save(names)
     total = names.count()
-    common_df = common_df or max(20, total // 400)
+    common_df = common_df or min(200, max(20, total // 400))
     rows = names.select("kind", "name", F.explode(F.array_distinct("toks")).alias("t"))
     freq = rows.groupBy("kind", "t").agg(F.count("*").alias("df"))
     with_df = ws.save(rows.join(freq, ["kind", "t"]))
-    # The rarest long token always counts; every other rare one does too.
-    long = with_df.where((F.length("t") >= 2) | (F.col("kind") == "organization"))
-    rarest = long.where(F.length("t") >= 4).groupBy("kind", "name").agg(F.min_by("t", F.struct("df", "t")).alias("rarest"))
-    core = ws.save(long.join(rarest, ["kind", "name"], "left").where((F.col("df") <= common_df) | (F.col("t") == F.col("rarest"))).select("kind", "name", "t", "df"))
+    # A rare token is in at most common_df names, which bounds what meets over it.
+    core = ws.save(with_df.where(((F.length("t") >= 2) | (F.col("kind") == "organization")) & (F.col("df") <= common_df)).select("kind", "name", "t"))
     given = df.sparkSession.createDataFrame([("person", t) for t in sorted(KNOWN_GIVEN)], "kind string, t string")
     pairs = ws.save(similar_tokens(ws, freq.select("kind", "t").unionByName(given).distinct()))
     n = float(max(1, total))
     heavy = with_df.groupBy("kind", "name").agg(F.collect_list(F.struct("t", F.log(1 + n / F.col("df")).alias("w"))).alias("weights"))  # a name's own tokens
     info = ws.save(names.join(heavy, ["kind", "name"]))
-    initials = names.select("kind", "name", F.array_distinct(F.transform("toks", lambda t: F.substring(t, 1, 1))).alias("inis"))
-    keyed = core.join(initials, ["kind", "name"])
-    left = keyed.join(pairs, ["kind", "t"]).select("kind", F.col("name").alias("a"), F.col("u").alias("key"), "inis")
-    right = keyed.select("kind", F.col("name").alias("b"), F.col("t").alias("key"), F.col("inis").alias("inis2"), (F.col("df") > frequent).alias("hot"))
-    # Frequent tokens get a second part to their key: one of the initials of the names; formal and short given names may differ in it.
-    every = F.array(F.lit(""))
-    hot_keys = right.where("hot").select("kind", "key").distinct().withColumn("is_hot", F.lit(True))
-    left = left.join(hot_keys, ["kind", "key"], "left").withColumn("ini", F.explode(F.when(F.coalesce("is_hot", F.lit(False)), F.col("inis")).otherwise(every)))
-    right = right.withColumn("ini", F.explode(F.when(F.col("hot"), F.col("inis2")).otherwise(every)))
-    cand = left.select("kind", "key", "ini", "a").join(right.select("kind", "key", "ini", "b"), ["kind", "key", "ini"]).where("a < b").select("kind", "a", "b")
+    left = core.join(pairs, ["kind", "t"]).select("kind", F.col("name").alias("a"), F.col("u").alias("key"))
+    cand = left.join(core.select("kind", F.col("name").alias("b"), F.col("t").alias("key")), ["kind", "key"]).where("a < b").select("kind", "a", "b")
     cand = ws.save(cand.unionByName(met_by_common(ws, names, freq, pairs, common_df)).distinct())
     n_parts = parts(cand)
     cand = cand.join(info.select("kind", F.col("name").alias("a"), F.col("toks").alias("ta"), F.col("weights").alias("wa")), ["kind", "a"]).join(info.select("kind", F.col("name").alias("b"), F.col("toks").alias("tb"), F.col("weights").alias("wb")), ["kind", "b"])

@@ -37,15 +37,15 @@ def test_query_without_sql_runs(spark, data, name):
 def test_survivors_fields_ties_and_nulls(spark):
     rows_ = [("b", "x", "T-1", "one two", 5.0), ("a", "x", "t1", "two one", 5.0), ("c", "x", "T 1", None, 9.0), ("d", "y", "t1", "z", 1.0), ("e", "x", None, "q", 1.0), ("f", None, "t1", "q", 1.0), ("a", "x", "t1", "two one", 5.0), ("g", "y", "!!", "q", 1.0), ("h", "y", "", "r", 1.0)]
     df = spark.createDataFrame(rows_, "id string, type string, name string, content string, f double").withColumn("_id", F.lit("clash")).withColumn("group_id", F.lit(1))
-    rule = [survivors.FieldRule("content", F.coalesce("content", F.lit("")), F.size(F.array_distinct(words(F.col("content"))))), survivors.FieldRule("never", F.lit(1), F.lit(None).cast("double"))]
-    got = survivors.winners(df, [F.col("type"), compact(F.col("name"))], F.col("id"), rule, F.lit(1.0), "fitness").collect()
+    rule = [survivors.by_fitness("content", F.col("id"), F.size(F.array_distinct(words(F.col("content"))))), survivors.FieldRule("never", F.lit(1), F.lit(None).cast("double"))]
+    got = survivors.winners(df, [F.col("type"), compact(F.col("name"))], F.col("id"), rule, F.lit(1.0)).collect()
     assert [tuple(r) for r in got] == [("a", "a", None)]
     assert survivors.winners(df.where("false"), [F.col("type")], F.col("id"), rule, F.lit(1.0)).count() == 0
 
 
 def test_survivors_votes(spark):
     df = spark.createDataFrame([("1", "k", "A", 0.3), ("2", "k", "a", 0.3), ("3", "k", "B", 0.5)], "id string, k string, v string, w double")
-    got = survivors.winners(df, [F.col("k")], F.col("id"), [survivors.FieldRule("v", F.lower("v"), F.lit(1.0))], F.col("w"), "votes").first()
+    got = survivors.winners(df, [F.col("k")], F.col("id"), [survivors.FieldRule("v", F.lower("v"), F.lit(1.0))], F.col("w")).first()
     assert got["v_id"] == "1"
     vote = survivors.vote(F.col("s"), F.col("t"), 100 * 86400.0, {"good": 1.0}, 0.5, 50.0)
     assert [round(r[0], 4) for r in spark.createDataFrame([("good", 50 * 86400.0), ("bad", None), (None, 200 * 86400.0)], "s string, t double").select(vote).collect()] == [0.5, 0.5, 0.5]
@@ -130,14 +130,32 @@ def weights():
     return pii.train(n=1500, rounds=4)
 
 
+#: Sentences that share no wording with those the model is trained on.
+OTHER_FRAMES = [
+    "Yesterday evening {name} left a scarf in the hall.", "If it rains, phone us: {phone}.", "Her new flat is at {address}, third floor.", "For the visa they noted {idnum} on page two.", "Mails to {email} bounce since March.",
+    "The choir thanked {name} for the flowers.", "Im Ordner liegt ein Zettel: {name}, {address}.", "On m'a donné ce numéro, {phone}, pour la clé.", "La carta vino de {address} sin sello.", "Whoever reads this should tell {name} that the boat is gone.", "His wallet held {idnum} and a stamp.", "Try {email}; the old one is dead.",
+]
+OTHER_PLAIN = ["Seat 44 in coach 7 was taken.", "The recipe needs 250 g of flour and 3 eggs.", "Chapter 12 ends on page 318.", "He ran 42 km in 3:58:12 last autumn.", "Der Zug um 17:42 fällt aus.", "Version 2.14.3 breaks the old plugin.", "We sold 1 200 tickets in 9 days.", "The Northern Line closes in May."]
+
+
 def test_pii_held_out(weights):
+    """Recall and precision on sentences of other wording, a third of them without items."""
+    r = random.Random(77)
     tp = fp = fn = 0
-    for text, gold in pii.training_sentences(300, seed=77):
+    for _ in range(500):
+        text, gold, at = "", [], 0
+        frame = r.choice(OTHER_PLAIN) if r.random() < 0.34 else r.choice(OTHER_FRAMES)
+        for m in re.finditer(r"\{(\w+)\}", frame):
+            text += frame[at : m.start()]
+            item = pii.MAKERS[m[1]](r)
+            gold.append((len(text), len(text) + len(item), m[1]))
+            text, at = text + item, m.end()
+        text += frame[at:]
         found = {(s.start, s.end, s.kind) for s in pii.find(text, weights)}
         hit = {g for g in gold if any(k == g[2] and s < g[1] and e > g[0] for s, e, k in found)}
         tp, fn = tp + len(hit), fn + len(gold) - len(hit)
         fp += sum(not any(k == g[2] and s < g[1] and e > g[0] for g in gold) for s, e, k in found)
-    assert tp / (tp + fn) > 0.97 and tp / (tp + fp) > 0.95
+    assert tp / (tp + fn) > 0.93 and tp / (tp + fp) > 0.93, (tp, fn, fp)
 
 
 def test_viterbi_is_best_subset(weights):
@@ -232,12 +250,29 @@ def test_names_end_to_end(spark):
     df = spark.createDataFrame([(i, n, "person") for i, n in people] + [("8", "Robert Holtberg", "concept"), ("9", "Robert Holtberg", "organization")], "id string, name string, type string").withColumn("kind", F.lit("clash")).withColumn("a", F.lit(1))
     m, links = names.linked(df, F.col("id"), F.col("name"), F.col("type"))
     assert {(r["a_id"], r["b_id"]) for r in names.expand(m, links).collect()} == {("1", "2"), ("1", "4"), ("2", "4")}
-    m, links = names.linked(df, F.col("id"), F.col("name"), F.col("type"), common_df=1, frequent=0)
+    m, links = names.linked(df, F.col("id"), F.col("name"), F.col("type"), common_df=1)
     assert {(r["a_id"], r["b_id"]) for r in names.expand(m, links).collect()} >= {("1", "4")}
     m, links = names.linked(df.where("false"), F.col("id"), F.col("name"), F.col("type"))
     assert m.count() == 0 and links.count() == 0
 
 
+def test_candidates_of_a_hot_name_are_few(spark):
+    """One family name in a tenth of 20 000 names: of its pairs only those that share another token, or an initial, are candidates."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("bcdfghklmnprstvz") + r.choice("aeiou") for _ in range(n))
+    people = [f"{word(4)} smith" for _ in range(2000)] + [f"{word(4)} {word(5)}" for _ in range(18_000)]
+    df = spark.createDataFrame([(str(i), n, "person") for i, n in enumerate(people)], "id string, name string, type string")
+    _, found = names.distinct_names(df, F.col("id"), F.col("name"), F.col("type"))
+    from lodegraph.workspace import Workspace
+
+    ws = Workspace(spark, "hot")
+    found = ws.save(found)
+    freq = found.select("kind", F.explode(F.array_distinct("toks")).alias("t")).groupBy("kind", "t").agg(F.count("*").alias("df"))
+    pairs = freq.select("kind", "t", F.col("t").alias("u"))
+    n = names.met_by_common(ws, found, freq, pairs, 50).count()
+    assert n < 200_000  # all pairs of the name are two millions
+
+
 def test_similar_tokens_equal_brute_force(spark):
     from lodegraph.workspace import Workspace
 
@@ -391,6 +426,24 @@ def test_leaks_with_changed_words_equal_brute_force(spark):
     assert (900, 0) in got and len(set(got) - set(want)) <= 0.1 * len(want)
 
 
+@pytest.mark.parametrize("similarity", [1.0, 0.8])
+def test_items_in_portions_give_the_same(spark, monkeypatch, similarity):
+    r = random.Random(9)
+    vocab = [f"t{i}" for i in range(90)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(30))) for i in range(25)]
+    docs = [(d, " ".join(r.choice(vocab) for _ in range(9)) + " " + " ".join(items[d % 25][1].split()[d % 7 : d % 7 + 11 + d % 9])) for d in range(60)]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    run = lambda: {tuple(x) for x in leaks.find(df, F.col("doc_id"), F.col("text"), it, F.col("item_id"), F.col("text"), similarity=similarity).collect()}
+    one = run()
+    monkeypatch.setattr(leaks, "PORTION", 800)
+    assert run() == one and one
+
+
+def test_fingerprints_of_rows():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 40).astype(np.uint64)
+    assert (leaks.simhash_rows(np.lib.stride_tricks.sliding_window_view(h, 12)) == leaks.simhash(h, 12)).all()
+
+
 def test_multi_index_guarantees_the_radius():
     r = np.random.default_rng(3)
     index = leaks.ItemIndex([(1, " ".join(f"a{i}" for i in range(60)))], 12, 3)
@@ -432,12 +485,34 @@ def test_mixture_of_budgets(spark):
     assert by["none"]["short"] and by["none"]["reached_tokens"] == 0 and by["small"]["most_uses"] <= 4 and by["big"]["most_uses"] == 1
     for s in ("big", "small"):
         take = next(p["take"] for p in plans if p["source"] == s)
-        assert 0 <= take - by[s]["reached_tokens"] <= 30
+        assert abs(take - by[s]["reached_tokens"]) <= 2  # topped up by texts of the size that is missing
     small = {x["uses"] for x in used.where("source = 'small'").collect()}
     assert max(small) - min(small) <= 1
     assert {tuple(x) for x in used.collect()} == {tuple(x) for x in mixing.realise(docs.repartition(5), plans).collect()}
 
 
+def test_weights_by_bisected_exponent():
+    targets = [0.5, 0.3, 0.15, 0.05, 0.0]
+    e, w = mixing.for_entropy(targets, mixing.entropy(targets))
+    assert e == pytest.approx(1, abs=1e-6) and w == pytest.approx(targets, abs=1e-9)
+    e, w = mixing.for_entropy(targets, 1.3)
+    assert 0 < e < 1 and mixing.entropy(w) == pytest.approx(1.3, abs=1e-6) and w[4] == 0
+    sizes = [{"source": s, "target_share": t, "max_repeats": 2, "texts": 5, "tokens": n} for s, t, n in (("a", 0.5, 100), ("b", 0.3, 400), ("c", 0.2, 50), ("d", 0.0, 10))]
+    plans = {p["source"]: p for p in mixing.plan(sizes)}
+    assert plans["a"]["short"] and plans["c"]["short"] and not plans["b"]["short"] and plans["a"]["want"] == pytest.approx(280)
+    even = mixing.plan(sizes, budget=mixing.held_budget(sizes))
+    assert not any(p["short"] for p in even) and sum(p["take"] for p in even) == pytest.approx(400)
+
+
+def test_large_texts_fill_a_small_budget(spark):
+    """A budget that whole texts meet badly: the nearest ones fill it up, and the mixture stays within one percent."""
+    docs = spark.createDataFrame([(i, "s", n) for i, n in enumerate([400, 390, 380, 70, 60, 50, 9, 8, 3, 2, 1] + [500] * 40)], "doc_id long, source string, n_tokens long")
+    sizes = mixing.source_sizes(docs, spark.createDataFrame([("s", 1.0, 3)], "source string, target_share double, max_repeats int"))
+    for budget in (1000, 1777, 23456, 60000):
+        got = mixing.realise(docs, mixing.plan(sizes, budget=budget)).collect()
+        assert abs(sum(r["n_tokens"] * r["uses"] for r in got) - budget) <= 0.01 * budget and max(r["uses"] for r in got) <= 3 and len(got) == len({r["doc_id"] for r in got})
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, None), (3, "")], "doc_id int, t string")
     assert [r["n_tokens"] for r in mixing.with_tokens(df, "t").orderBy("doc_id").collect()] == [2, 0, 0]
@@ -464,6 +539,7 @@ def test_spikes_and_flags(spark):
     f = {x["rec_id"]: x for x in cutoff.flagged(df, F.col("doc_id"), F.col("text"), F.col("src")).collect()}
     assert len(f) == len(rows_) and all(f[i]["truncated"] and f[i]["at_limit"] for i in range(30)) and not any(f[100 + i]["truncated"] for i in range(40))
     assert f[200]["truncated"] and not f[201]["truncated"] and not f[202]["truncated"] and not f[203]["truncated"]
+    assert {f[i]["cause"] for i in range(30)} == {"limit"} and f[200]["cause"] == "ending" and f[201]["cause"] is None
     rate = {x["source"]: (x["n_texts"], x["n_truncated"]) for x in cutoff.rates(cutoff.flagged(df, F.col("doc_id"), F.col("text"), F.col("src"))).collect()}
     assert rate["free"] == (1, 0) and rate[None] == (2, 1)
     assert cutoff.flagged(df.where("false"), F.col("doc_id"), F.col("text"), F.col("src")).count() == 0

@@ -86,7 +86,7 @@ def tree_rows(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     one = first_parent(edges).select("child", "parent")
     c = closure(one)
     named = nodes.select(F.col("id").alias("_id"), F.concat(F.lpad(F.floor((1 - F.coalesce("importance", F.lit(0.0))) * 1e6).cast("string"), 7, "0"), F.coalesce("name", F.lit("")), F.col("id")).alias("_k"))
-    steps = c.unionByName(c.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).alias("steps")).distinct())
+    steps = c.unionByName(c.select("node_id", F.col("node_id").alias("ancestor_id"), F.lit(0).cast("long").alias("steps")).distinct())
     keyed = steps.join(named, F.col("ancestor_id") == F.col("_id"))
     return keyed.groupBy("node_id").agg(F.max("steps").alias("depth"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("steps")).alias("o"), F.col("_k").alias("k")))), lambda x: x["k"]), "/").alias("sort_path")).withColumnRenamed("node_id", "id")
 

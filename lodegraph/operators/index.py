@@ -62,15 +62,20 @@ def inherited_links(nodes: DataFrame, edges: DataFrame, linked: DataFrame, owner
     """(path, node_id): nodes without a link take the file of their nearest linked ancestor within `hops`; the way up stops at categories and the owner."""
     from .graph import first_parent
 
+    from ..workspace import Workspace
+
+    ws = Workspace(nodes.sparkSession, "inherited")
     best = linked.groupBy("node_id").agg(F.min_by("path", F.struct("prio", "path")).alias("path"))
+    best = ws.save(best)
     stop = nodes.where(F.col("type") == "category").select("id")
     up = first_parent(edges).join(stop.select(F.col("id").alias("parent")), "parent", "left_anti")
     if owner:
         up = up.where(F.col("parent") != owner)
+    up = ws.save(up)
     start = nodes.where("archived = 0 and type <> 'category'").select(F.col("id").alias("node_id")).join(best.select("node_id"), "node_id", "left_anti")
     level, out = start.select("node_id", F.col("node_id").alias("at")), None
     for _ in range(hops):
-        level = level.join(up, F.col("at") == F.col("child")).select("node_id", F.col("parent").alias("at"))
+        level = ws.save(level.join(up, F.col("at") == F.col("child")).select("node_id", F.col("parent").alias("at")))
         hit = level.join(best.select(F.col("node_id").alias("at"), "path"), "at").select("path", "node_id")
         out = hit if out is None else out.unionByName(hit)
         level = level.join(best.select(F.col("node_id").alias("at")), "at", "left_anti")

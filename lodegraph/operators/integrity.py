@@ -156,9 +156,11 @@ def semantic_duplicates(nodes: DataFrame, edges: DataFrame, least: float = 0.89,
 
 
 def ratio_at_least(pairs: DataFrame, a: str, b: str, least: float = 0.9) -> DataFrame:
-    """Pairs whose similarity by matching blocks reaches `least`; Arrow batches, after a bound by lengths."""
+    """Pairs whose similarity by matching blocks reaches `least`; Arrow batches, after bounds by lengths and by edits, which stay in the JVM."""
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     near = pairs.where(2 * short >= least * (short + long))
+    # Letters outside the matching blocks are put in or left out, so twice as many edits as this can't be.
+    near = near.where(F.levenshtein(F.col(a), F.col(b)) <= (1 - least) * (short + long) + 1e-9)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -209,6 +211,13 @@ def same_file(nodes: DataFrame, edges: DataFrame, file_nodes: DataFrame) -> Data
     return _kin(pairs, nodes, edges)
 
 
+def compact_classes(nodes: DataFrame, owner: str = "owner") -> DataFrame:
+    """(id, class_id, n): active nodes, no categories, of each name without spaces that two or more have, whatever their types; class_id is the smallest id.  As many rows as nodes, however many share a name."""
+    x = active(nodes).where("type <> 'category'").select("id", X.compact_name(F.col("name"), owner).alias("k")).where("k <> ''")
+    big = x.groupBy("k").agg(F.min("id").alias("class_id"), F.count_distinct("id").alias("n")).where("n > 1")
+    return x.distinct().join(big, "k").select("id", "class_id", "n")
+
+
 def same_compact_name(nodes: DataFrame, owner: str = "owner") -> DataFrame:
     """(a, b): active nodes, no categories, whose names are equal without spaces, whatever their types."""
     n = active(nodes).where("type <> 'category'").select("id", X.compact_name(F.col("name"), owner).alias("k")).where("k <> ''")

@@ -172,6 +172,22 @@ def anchor(nodes: DataFrame, owner_id: str, owner: str, as_of: float) -> DataFra
     return add_nodes(one.join(nodes.select(F.lower("name").alias("_n")), F.lower("name") == F.col("_n"), "left_anti"), as_of)
 
 
+def pruned(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without archived nodes and their edges."""
+    return delete_nodes(nodes, edges, nodes.where("archived = 1").select("id"))
+
+
+def cleared(*tables: DataFrame) -> tuple[DataFrame, ...]:
+    """The tables without rows; schemas stay."""
+    return tuple(t.where("false") for t in tables)
+
+
+def with_vectors(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Nodes with the vectors (id, embedding) set; of several for a node the smallest in array order, nodes without one keep theirs."""
+    v = vectors.where("id is not null").groupBy(F.col("id").alias("_id")).agg(F.min("embedding").alias("_e"))
+    return nodes.join(v, F.col("id") == F.col("_id"), "left").withColumn("embedding", F.coalesce("_e", "embedding")).select(*nodes.columns)
+
+
 def absorb(nodes: DataFrame, news: DataFrame) -> DataFrame:
     """(id, content, changed): contents after novel new ones (id, content) are appended."""
     j = nodes.select("id", F.col("content").alias("old")).join(news.select("id", F.col("content").alias("new")), "id")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import graph_queries, hierarchy_queries, ledger_queries, scalar_queries
+from . import change_queries, composite_sql, graph_queries, hierarchy_queries, ledger_queries, scalar_queries  # noqa: F401
 
 FLAGSHIP = "p4_found"
-MODULES = (scalar_queries, graph_queries, ledger_queries)
+MODULES = (scalar_queries, graph_queries, ledger_queries, change_queries)
 
 
 def queries() -> dict:

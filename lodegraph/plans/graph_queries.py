@@ -15,7 +15,7 @@ from ..sources import portable
 from ..sources.tables import AS_OF, table
 from .hierarchy_queries import UP_SQL
 from .registry import Registry
-from .scalar_queries import DAY, HALF, LEFT, WEIGHT, sql_list
+from .scalar_queries import DAY, HALF, LEFT, MONTH_NO, WEIGHT, sql_list
 
 R = Registry()
 c = F.col
@@ -43,6 +43,22 @@ A_ = "a AS (SELECT * FROM nodes WHERE archived = 0)"
 P_ = "p AS (SELECT DISTINCT source_id AS child, target_id AS parent FROM e WHERE relation = 'part_of' AND source_id IN (SELECT id FROM a) AND target_id IN (SELECT id FROM a))"
 ENDS = "n AS (SELECT source_id AS id, target_id AS other FROM e UNION ALL SELECT target_id, source_id FROM e)"
 
+#: Files under the name of one of their nodes: the tables' own titles are nobody's names.
+VF_ = "vf AS (SELECT f.path, f.kind, coalesce(t.name, f.title) AS title, f.aliases FROM vault_files f LEFT JOIN (SELECT v.path, min(n.name) AS name FROM vault_file_nodes v JOIN nodes n ON n.id = v.node_id WHERE n.archived = 0 AND n.type <> 'category' GROUP BY v.path) t USING (path))"
+#: Nodes half of which have a longer name.
+NN_ = "nn AS (SELECT id, type, archived, created_at, CASE WHEN abs(access_count) % 2 = 1 THEN name || ' second draft' ELSE name END AS name FROM nodes)"
+
+
+def titled_files(spark: SparkSession, d: str) -> DataFrame:
+    n = nodes_of(spark, d).where("archived = 0 and type <> 'category'").select(c("id").alias("node_id"), "name")
+    t = table(spark, d, "vault_file_nodes").join(n, "node_id").groupBy("path").agg(F.min("name").alias("_name"))
+    return table(spark, d, "vault_files").join(t, "path", "left").withColumn("title", F.coalesce("_name", "title")).drop("_name")
+
+
+def longer_names(spark: SparkSession, d: str) -> DataFrame:
+    return nodes_of(spark, d).withColumn("name", F.when(F.abs("access_count") % 2 == 1, F.concat("name", F.lit(" second draft"))).otherwise(c("name")))
+
+
 # ---- scans ----
 
 
@@ -66,16 +82,16 @@ def a3_edges(spark, d):
     return edges_of(spark, d).select("id", "source_id", "target_id", "relation")
 
 
-@R.query("SELECT DISTINCT f.path, n.id FROM vault_files f JOIN nodes n ON lower(n.name) = lower(f.title)")
+@R.query(f"WITH {VF_} SELECT DISTINCT f.path, n.id FROM vf f JOIN nodes n ON lower(n.name) = lower(f.title)")
 def a4_by_name(spark, d):
-    f = table(spark, d, "vault_files").select("path", F.lower("title").alias("k"))
+    f = titled_files(spark, d).select("path", F.lower("title").alias("k"))
     return f.join(nodes_of(spark, d).select("id", F.lower("name").alias("k")), "k").select("path", "id").distinct()
 
 
-@R.query(f"WITH {E_} SELECT DISTINCT n.id AS node_id, e.id AS edge_id FROM nodes n JOIN e ON e.source_id = n.id OR e.target_id = n.id WHERE n.type = 'project'")
+@R.query(f"WITH {E_} SELECT DISTINCT n.id AS node_id, e.id AS edge_id FROM nodes n JOIN e ON e.source_id = n.id OR e.target_id = n.id")
 def a5_incident_edges(spark, d):
-    """Edges at either end of projects: two equi-joins, not one with an OR."""
-    n = nodes_of(spark, d).where("type = 'project'").select(c("id").alias("node_id"))
+    """Edges at either end of every node: two equi-joins, not one with an OR."""
+    n = nodes_of(spark, d).select(c("id").alias("node_id"))
     e = edges_of(spark, d).select(c("id").alias("edge_id"), "source_id", "target_id")
     return n.join(e, c("node_id") == c("source_id")).select("node_id", "edge_id").unionByName(n.join(e, c("node_id") == c("target_id")).select("node_id", "edge_id")).distinct()
 
@@ -95,11 +111,11 @@ def a7_indexable_files(spark, d):
 @R.query(r"""
     SELECT doc_id, CASE WHEN regexp_matches(text, '(?m)^# ') THEN trim(regexp_extract(text, '(?m)^# ([^\r\n]*)', 1)) ELSE replace(regexp_replace(list_last(string_split(path, '/')), '\.[^.]*$', ''), '-', ' ') END AS title,
       left(sha256(text), 16) AS sha, CAST(strlen(text) AS BIGINT) AS size
-    FROM documents WHERE text IS NOT NULL AND path IS NOT NULL AND NOT starts_with(text, '---')""")
+    FROM documents WHERE text IS NOT NULL AND path IS NOT NULL""")
 def a8_file_records(spark, d):
     from ..sources.markdown import records
 
-    t = table(spark, d, "documents").where("text is not null and path is not null and not startswith(text, '---')")
+    t = table(spark, d, "documents").where("text is not null and path is not null")
     return records(t.select(F.col("doc_id").cast("string").alias("k"), F.concat("path", F.lit("\u0001"), F.col("doc_id")).alias("path"), "text")).select(F.element_at(F.split("path", "\u0001"), -1).cast("long").alias("doc_id"), F.when(c("title").contains("\u0001"), F.replace(F.regexp_replace(F.element_at(F.split(F.split("path", "\u0001")[0], "/"), -1), r"\.[^.]*$", ""), F.lit("-"), F.lit(" "))).otherwise(c("title")).alias("title"), "sha", c("size").cast("long").alias("size"))
 
 
@@ -109,7 +125,7 @@ def a8_file_tokens(spark, d):
     from ..sources.markdown import records
 
     t = table(spark, d, "documents").where("text is not null and path is not null")
-    return records(t.select("path", "text")).select("path", "kind", "title", F.size("tokens").alias("n_tokens"), F.array_join("links", " ").alias("links"), "sha").distinct()
+    return records(t.select("path", "text")).select("path", "kind", "title", F.size("tokens").alias("n_tokens"), F.array_join(F.array_sort("links"), " ").alias("links"), "sha").distinct()
 
 
 @R.query()
@@ -124,9 +140,9 @@ def a19_round_trip(spark, d):
     return portable.import_rows(portable.export_rows(n, vectors=False), "id string, name string, weight double").select("id", "name", "weight")
 
 
-@R.query(r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS visible FROM documents WHERE NOT contains(coalesce(text, ''), '<') AND NOT contains(coalesce(text, ''), '&')")
+@R.query(r"SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS visible FROM documents")
 def a21_page_texts(spark, d):
-    t = table(spark, d, "documents").where("not contains(coalesce(text, ''), '<') and not contains(coalesce(text, ''), '&')")
+    t = table(spark, d, "documents")
     page = F.concat(F.lit("<html><head><style>p {}</style><script>var x = 1;</script></head><body><!-- c --><p>"), F.coalesce("text", F.lit("")), F.lit("</p></body></html>"))
     return t.select("doc_id", portable.html_text(page).alias("visible"))
 
@@ -172,9 +188,9 @@ def a29_nodes_of_files(spark, d):
 # ---- joins ----
 
 
-@R.query("SELECT DISTINCT path, string_agg(name, '; ' ORDER BY name) AS names FROM (SELECT DISTINCT v.path, n.name FROM vault_file_nodes v JOIN nodes n ON n.id = v.node_id WHERE n.type = 'project') GROUP BY path")
+@R.query("SELECT path, string_agg(name, '; ' ORDER BY name) AS names FROM (SELECT DISTINCT v.path, n.name FROM vault_file_nodes v JOIN nodes n ON n.id = v.node_id) GROUP BY path")
 def c2_seeded_files(spark, d):
-    n = nodes_of(spark, d).where("type = 'project'").select(c("id").alias("node_id"), "name")
+    n = nodes_of(spark, d).select(c("id").alias("node_id"), "name")
     return table(spark, d, "vault_file_nodes").join(n, "node_id").select("path", "name").distinct().groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("names"))
 
 
@@ -183,9 +199,13 @@ def c3_dangling_edges(spark, d):
     return I.dangling(nodes_of(spark, d), edges_of(spark, d))
 
 
-@R.query(f"WITH {E_} SELECT DISTINCT r.id FROM e r WHERE r.relation = 'relates_to' AND EXISTS (SELECT 1 FROM e p WHERE p.relation = 'part_of' AND ((p.source_id = r.source_id AND p.target_id = r.target_id) OR (p.source_id = r.target_id AND p.target_id = r.source_id)))")
+@R.query(f"""WITH {E_}, x AS (SELECT id, source_id, target_id, relation FROM e UNION ALL SELECT 'r:' || id, target_id, source_id, 'relates_to' FROM e WHERE relation = 'part_of' AND reinforcement_count % 2 = 1)
+    SELECT DISTINCT r.id FROM x r WHERE r.relation = 'relates_to' AND EXISTS (SELECT 1 FROM x p WHERE p.relation = 'part_of' AND ((p.source_id = r.source_id AND p.target_id = r.target_id) OR (p.source_id = r.target_id AND p.target_id = r.source_id)))""")
 def c4_redundant_links(spark, d):
-    return I.redundant_links(edges_of(spark, d))
+    """With a cross-link back along every other structural link, as the tables have none."""
+    e = edges_of(spark, d).select("id", "source_id", "target_id", "relation", "reinforcement_count")
+    back = e.where("relation = 'part_of' and reinforcement_count % 2 = 1").select(F.concat(F.lit("r:"), "id").alias("id"), c("target_id").alias("source_id"), c("source_id").alias("target_id"), F.lit("relates_to").alias("relation"), "reinforcement_count")
+    return I.redundant_links(e.unionByName(back))
 
 
 @R.query(f"WITH {E_}, {A_} SELECT DISTINCT e.id FROM e JOIN a s ON s.id = e.source_id JOIN a t ON t.id = e.target_id WHERE relation <> 'part_of' AND (s.type = 'category' OR t.type = 'category')")
@@ -227,9 +247,10 @@ def c9_same_file(spark, d):
 _IN = r"replace(trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(name, '')), '\b(?:owner''?s?|my|the)\b', ' ', 'g'), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')), ' ', '')"
 
 
-@R.query(f"WITH x AS (SELECT id, {_IN} AS k FROM nodes WHERE archived = 0 AND type <> 'category') SELECT l.id AS a, r.id AS b FROM x l JOIN x r ON l.k = r.k AND l.id < r.id WHERE l.k <> ''")
+@R.query(f"WITH x AS (SELECT id, {_IN} AS k FROM nodes WHERE archived = 0 AND type <> 'category') SELECT * FROM (SELECT id, min(id) OVER (PARTITION BY k) AS class_id, count(*) OVER (PARTITION BY k) AS n FROM x WHERE k <> '') WHERE n > 1")
 def c10_same_compact_name(spark, d):
-    return I.same_compact_name(nodes_of(spark, d))
+    """A class per name; pairs of a name that a third of all nodes have would be too many."""
+    return I.compact_classes(nodes_of(spark, d))
 
 
 @R.query(f"""WITH x AS (SELECT id, type, lower(trim(name)) AS n, {_IN} AS k FROM nodes WHERE archived = 0 AND type <> 'category'), q AS (SELECT l.id AS a, r.id AS b, l.n AS na, r.n AS nb FROM x l JOIN x r ON l.k = r.k AND l.id < r.id WHERE l.k <> ''),
@@ -251,44 +272,60 @@ _FK = "fk AS (SELECT path, kind, array_to_string(regexp_extract_all(lower(title)
 _NK = r"nk AS (SELECT id, unnest(list_distinct([array_to_string(regexp_extract_all(lower(coalesce(name, '')), '[a-z0-9]+'), ' '), array_to_string(regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce(name, ''), '\s*\([^()]*\)\s*$', ''), '(?:\s+(?:19|20)\d\d)+\s*$', '')), '[a-z0-9]+'), ' ')])) AS k FROM nodes WHERE archived = 0 AND type <> 'category')"
 
 
-@R.query(f"WITH {_FK}, {_NK} SELECT fk.path, nk.id AS node_id, max(how) AS how FROM fk JOIN nk ON fk.k = nk.k WHERE fk.k <> '' GROUP BY 1, 2")
+_FKV, _NKV = _FK.replace("vault_files", "vf"), _NK.replace("FROM nodes", "FROM nn")
+
+
+@R.query(f"WITH {VF_}, {_FKV}, {_NK} SELECT fk.path, nk.id AS node_id, max(how) AS how FROM fk JOIN nk ON fk.k = nk.k WHERE fk.k <> '' GROUP BY 1, 2")
 def c12_exact_links(spark, d):
-    return index.exact_links(_files(spark, d), nodes_of(spark, d))
+    return index.exact_links(titled_files(spark, d), nodes_of(spark, d))
 
 
 _KIND = "CASE kind WHEN 'person' THEN 0 WHEN 'org' THEN 1 WHEN 'project' THEN 2 WHEN 'course' THEN 3 WHEN 'application' THEN 4 WHEN 'profile' THEN 5 WHEN 'topic' THEN 6 WHEN 'app' THEN 7 WHEN 'area' THEN 8 WHEN 'hub' THEN 9 WHEN 'identity' THEN 10 WHEN 'doc' THEN 11 WHEN 'readme' THEN 12 WHEN 'log' THEN 13 ELSE 20 END"
 
 
-@R.query(f"""WITH {_FK}, {_NK}, l AS (SELECT DISTINCT nk.id FROM fk JOIN nk ON fk.k = nk.k WHERE fk.k <> ''), f AS (SELECT path, {_KIND} AS prio, k FROM fk WHERE contains(k, ' ') AND kind IN ('person', 'org', 'project', 'course', 'application', 'profile', 'topic', 'app', 'area', 'doc')),
-    x AS (SELECT id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(name, '')), '[a-z0-9]+'), ' ') || ' ' AS n FROM nodes WHERE archived = 0 AND type <> 'category' AND id NOT IN (SELECT id FROM l))
-    SELECT path, node_id FROM (SELECT f.path, x.id AS node_id, row_number() OVER (PARTITION BY x.id ORDER BY length(f.k) DESC, prio, f.path) AS r FROM x JOIN f ON contains(x.n, ' ' || f.k || ' ')) WHERE r = 1""")
+_LINKED = f"""{VF_}, {NN_}, {_FKV}, {_NKV}, ex AS (SELECT fk.path, nk.id AS node_id, max(how) AS how FROM fk JOIN nk ON fk.k = nk.k WHERE fk.k <> '' GROUP BY 1, 2),
+    f AS (SELECT path, {_KIND} AS prio, k FROM fk WHERE contains(k, ' ') AND kind IN ('person', 'org', 'project', 'course', 'application', 'profile', 'topic', 'app', 'area', 'doc')),
+    x AS (SELECT id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(name, '')), '[a-z0-9]+'), ' ') || ' ' AS n FROM nn WHERE archived = 0 AND type <> 'category' AND id NOT IN (SELECT node_id FROM ex)),
+    co AS (SELECT path, node_id FROM (SELECT f.path, x.id AS node_id, row_number() OVER (PARTITION BY x.id ORDER BY length(f.k) DESC, prio, f.path) AS r FROM x JOIN f ON contains(x.n, ' ' || f.k || ' ')) WHERE r = 1)"""
+
+
+@R.query(f"WITH {_LINKED} SELECT path, node_id FROM co")
 def c13_contains_links(spark, d):
-    f, n = _files(spark, d), nodes_of(spark, d)
+    f, n = titled_files(spark, d), longer_names(spark, d)
     return index.contains_links(f, n, index.exact_links(f, n))
 
 
-@R.query()
+_FIRST = "fp AS (SELECT source_id AS child, min_by(target_id, (created_at, id, target_id)) AS parent FROM e WHERE relation = 'part_of' GROUP BY 1)"
+
+
+@R.query(f"""WITH RECURSIVE {E_}, {_LINKED}, {_FIRST}, bo AS (SELECT path, node_id, how FROM ex UNION ALL SELECT path, node_id, 'contains' FROM co),
+    be AS (SELECT node_id, min_by(path, (prio, path)) AS path FROM (SELECT bo.node_id, bo.path, {_KIND} AS prio FROM bo JOIN vf USING (path)) GROUP BY 1),
+    upw AS (SELECT id AS node_id, id AS at, 0 AS d FROM nn WHERE archived = 0 AND type <> 'category' AND id NOT IN (SELECT node_id FROM be)
+      UNION ALL SELECT upw.node_id, fp.parent, d + 1 FROM upw JOIN fp ON fp.child = upw.at WHERE d < 8 AND (d = 0 OR upw.at NOT IN (SELECT node_id FROM be)) AND fp.parent NOT IN (SELECT id FROM nodes WHERE type = 'category') AND fp.parent <> {OWNER})
+    SELECT path, node_id, how FROM bo UNION ALL SELECT be.path, upw.node_id, 'inherited' FROM upw JOIN be ON be.node_id = upw.at WHERE d > 0""")
 def c14_all_links(spark, d):
-    """All passes, inherited links too; checked in the tests."""
-    return index.linked_files(_files(spark, d), nodes_of(spark, d), edges_of(spark, d), owner_of(spark, d))
+    """All three passes: by name, by a phrase inside the name, and inherited from the nearest linked ancestor."""
+    return index.linked_files(titled_files(spark, d), longer_names(spark, d), edges_of(spark, d), owner_of(spark, d))
 
 
-@R.query(r"SELECT DISTINCT d.doc_id, v.path AS target FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '((?:profile|courses|applications|orgs|projects|people|apps|topics|docs|areas|log)/[\w.\-]+\.md)', 1)) AS t FROM documents) d JOIN vault_files v ON v.path = d.t")
+@R.query(r"SELECT DISTINCT node_id AS doc_id, path AS target FROM vault_file_nodes JOIN vault_files USING (path) WHERE regexp_full_match(path, '(?:profile|courses|applications|orgs|projects|people|apps|topics|docs|areas|log)/[\w.\-]+\.md')")
 def c15_known_links(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.explode(X.file_links(c("text"))).alias("target"))
+    """Texts that name the files of a node, and one that is unknown."""
+    t = table(spark, d, "vault_file_nodes").groupBy(c("node_id").alias("doc_id")).agg(F.concat(F.lit("See topics/unknown-file.md, "), F.array_join(F.collect_set("path"), " and "), F.lit(".")).alias("text"))  # a node's own files
+    t = t.select("doc_id", F.explode(X.file_links(c("text"))).alias("target"))
     return t.join(_files(spark, d).select(c("path").alias("target")), "target", "left_semi").select("doc_id", "target").distinct()
 
 
-@R.query("""WITH h AS (SELECT lower(name) AS k, id, row_number() OVER (PARTITION BY lower(name) ORDER BY created_at, id) AS r FROM nodes WHERE archived = 0)
-    SELECT x.k AS name_key, h.id, CASE WHEN h.id IS NULL THEN 'new' ELSE 'name' END AS how FROM (SELECT DISTINCT lower(title) AS k FROM vault_files) x LEFT JOIN h ON h.k = x.k AND r = 1""")
+@R.query(f"""WITH {VF_}, h AS (SELECT lower(name) AS k, id, row_number() OVER (PARTITION BY lower(name) ORDER BY created_at, id) AS r FROM nodes WHERE archived = 0)
+    SELECT x.k AS name_key, h.id, CASE WHEN h.id IS NULL THEN 'new' ELSE 'name' END AS how FROM (SELECT DISTINCT lower(title) AS k FROM vf) x LEFT JOIN h ON h.k = x.k AND r = 1""")
 def c16_resolved_names(spark, d):
-    cands = _files(spark, d).select(F.lower("title").alias("name_key"), F.lit("concept").alias("type"))
+    cands = titled_files(spark, d).select(F.lower("title").alias("name_key"), F.lit("concept").alias("type"))
     return ingest.resolved(cands, nodes_of(spark, d))
 
 
-@R.query(f"WITH {E_}, {ENDS}, s AS (SELECT id FROM nodes WHERE type = 'project') SELECT DISTINCT n.other AS id FROM n JOIN s ON s.id = n.id JOIN nodes x ON x.id = n.other WHERE x.archived = 0 AND n.other NOT IN (SELECT id FROM s)")
+@R.query(f"WITH {E_}, {ENDS}, s AS (SELECT id FROM nodes WHERE type IN ('project', 'skill', 'person')) SELECT DISTINCT n.other AS id FROM n JOIN s ON s.id = n.id JOIN nodes x ON x.id = n.other WHERE x.archived = 0 AND n.other NOT IN (SELECT id FROM s)")
 def c17_neighbours(spark, d):
-    s = nodes_of(spark, d).where("type = 'project'").select("id")
+    s = nodes_of(spark, d).where("type in ('project', 'skill', 'person')").select("id")
     near = graph.ends(edges_of(spark, d)).join(s, "id").select(c("other").alias("id")).distinct().join(s, "id", "left_anti")
     return near.join(nodes_of(spark, d).where("archived = 0").select("id"), "id", "left_semi")
 
@@ -360,6 +397,15 @@ def d7_imported_nodes(spark, d):
     return add.select("id")
 
 
+@R.query()
+def d7_imported_edges(spark, d):
+    """Edges of odd counts brought into a store of the others, with the nodes of the import source."""
+    n, e = nodes_of(spark, d), edges_of(spark, d)
+    old = n.where("source is null or source <> 'import'")
+    _, add = mutate.import_graph(old, e.where("reinforcement_count % 2 = 0"), n.where("source = 'import'"), e.where("reinforcement_count % 2 = 1"))
+    return add.select("id", "source_id", "target_id", "relation")
+
+
 @R.query()
 def d8_move_refusals(spark, d):
     """Every `requires` link read as a wish to move its source below its target; checked in the tests."""
@@ -429,7 +475,10 @@ def d13_attached(spark, d):
 
 @R.query()
 def d14_tasks(spark, d):
-    return ingest.tasks(ingest.diverted(_records(spark, d)))
+    """Tasks of all texts, each with one line of a task in two spellings."""
+    t = table(spark, d, "ingestion_log").where("raw_text is not null").select("id", "raw_text", F.coalesce("source", F.lit("nobody")).alias("s")).distinct()
+    t = t.select("id", F.concat("raw_text", F.lit("\n\nTODO call "), "s", F.lit("\nTODO: Call "), "s").alias("raw_text"))
+    return ingest.tasks(ingest.diverted(ingest.extracted(t, "id", "raw_text")))
 
 
 @R.query(f"SELECT path, min_by(x.f, (prio, x.f)) AS best FROM (SELECT v.node_id AS path, v.path AS f, {_KIND} AS prio FROM vault_file_nodes v JOIN vault_files USING (path)) x GROUP BY path")
@@ -492,10 +541,20 @@ def e4_crowded(spark, d):
     return I.crowded(nodes_of(spark, d), edges_of(spark, d), owner_of(spark, d))
 
 
-@R.query(f"{UP_SQL}, t AS (SELECT l.c AS id FROM l JOIN nodes n ON n.id = l.c WHERE n.type = 'category' AND l.p = {OWNER}) SELECT t.id, count(DISTINCT ok.node) AS descendants FROM t LEFT JOIN ok ON ok.anc = t.id GROUP BY t.id")
+_BELOW = f"(SELECT source_id, target_id, relation FROM edges UNION ALL SELECT id, {OWNER}, 'part_of' FROM nodes WHERE type = 'category')"
+
+
+def below_owner(spark: SparkSession, d: str, own: str) -> DataFrame:
+    """Edges with every category hung below the owner, where the tables have none."""
+    e = edges_of(spark, d).select("source_id", "target_id", "relation")
+    return e.unionByName(nodes_of(spark, d).where("type = 'category'").select(c("id").alias("source_id"), F.lit(own).alias("target_id"), F.lit("part_of").alias("relation")))
+
+
+@R.query(f"{UP_SQL.replace('FROM edges', 'FROM ' + _BELOW)}, t AS (SELECT l.c AS id FROM l JOIN nodes n ON n.id = l.c WHERE n.type = 'category' AND l.p = {OWNER}) SELECT t.id, count(DISTINCT ok.node) AS descendants FROM t LEFT JOIN ok ON ok.anc = t.id GROUP BY t.id")
 def e5_area_sizes(spark, d):
     """Descendants of the categories below the owner."""
-    return answers.breakdown(nodes_of(spark, d), edges_of(spark, d), owner_of(spark, d))
+    own = owner_of(spark, d)
+    return answers.breakdown(nodes_of(spark, d), below_owner(spark, d, own), own)
 
 
 @R.query(f"""WITH {E_}, {A_}, {P_}, s AS (SELECT p.child AS id, count(*) AS n, bool_or(p.parent = {OWNER}) AS un, bool_and(t.type = 'category' OR p.parent = {OWNER}) AS good FROM p JOIN a t ON t.id = p.parent GROUP BY 1),
@@ -511,12 +570,14 @@ def e7_fact_parents(spark, d):
     return I.fact_parents(nodes_of(spark, d), edges_of(spark, d))
 
 
-@R.query(f"""WITH {E_}, {A_}, {P_}, t AS (SELECT p.child AS id, count(*) AS n FROM p GROUP BY 1)
-    SELECT 'dangling_edge' AS finding, count(*) AS n FROM e WHERE source_id NOT IN (SELECT id FROM nodes) OR target_id NOT IN (SELECT id FROM nodes) UNION ALL SELECT 'orphan', count(*) FROM a LEFT JOIN t USING (id) WHERE type <> 'category' AND t.n IS NULL AND id <> {OWNER}
-    UNION ALL SELECT 'multi_parent', count(*) FROM a JOIN t USING (id) WHERE type <> 'category' AND t.n > 1 AND id <> {OWNER} UNION ALL SELECT 'legacy_task', count(*) FROM a WHERE type = 'task'""")
+_FINDINGS = "unrooted_category category_bad_parent orphan multi_parent under_identity legacy_task missing_embedding oversized flat_list dangling_edge redundant_link misoriented category_link fact_parent".split()
+
+
+@R.query(f"""SELECT k.finding, count(x.finding) AS n FROM (SELECT unnest({_FINDINGS}) AS finding) k LEFT JOIN (SELECT finding FROM ({R.sql['e6_parent_findings']}) UNION ALL SELECT finding FROM ({R.sql['e4_crowded']}) UNION ALL SELECT 'dangling_edge' FROM ({R.sql['c3_dangling_edges']})
+    UNION ALL SELECT 'redundant_link' FROM (WITH {E_} SELECT DISTINCT r.id FROM e r JOIN e p ON p.relation = 'part_of' AND least(p.source_id, p.target_id) = least(r.source_id, r.target_id) AND greatest(p.source_id, p.target_id) = greatest(r.source_id, r.target_id) WHERE r.relation = 'relates_to')
+    UNION ALL SELECT 'misoriented' FROM ({R.sql['c6_misoriented']}) UNION ALL SELECT 'category_link' FROM ({R.sql['c5_category_links']}) UNION ALL SELECT 'fact_parent' FROM ({R.sql['e7_fact_parents']})) x ON x.finding = k.finding GROUP BY k.finding""")
 def e9_report(spark, d):
-    r = I.report(nodes_of(spark, d), edges_of(spark, d), owner_of(spark, d))
-    return r.where("finding in ('dangling_edge', 'orphan', 'multi_parent', 'legacy_task')")
+    return I.report(nodes_of(spark, d), edges_of(spark, d), owner_of(spark, d))
 
 
 @R.query("SELECT (SELECT max(ingested_at) FROM ingestion_log) AS last_ingested, (SELECT max(indexed_at) FROM vault_files) AS last_indexed")
@@ -623,11 +684,11 @@ def f15_who_search(spark, d):
     return search.best_files(search.file_scores(_files(spark, d), "who asked about the harbour"), who=True).select("path", "kind", "score")
 
 
-@R.query("""WITH v AS (SELECT id, type, CAST(embedding AS DOUBLE[]) AS v FROM nodes WHERE archived = 0 AND type = 'skill' AND len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0)
-    SELECT a, b, cosine FROM (SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cosine, row_number() OVER (PARTITION BY x.id ORDER BY round(list_cosine_similarity(x.v, y.v), 9) DESC, y.id) AS r FROM v x JOIN v y ON x.id <> y.id) WHERE r = 1""")
+@R.query("""WITH v AS (SELECT id, type, CAST(embedding AS DOUBLE[]) AS v FROM nodes WHERE archived = 0 AND type IN ('skill', 'task') AND len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) > 0)
+    SELECT a, b, cosine FROM (SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cosine, row_number() OVER (PARTITION BY x.id ORDER BY round(list_cosine_similarity(x.v, y.v), 9) DESC, y.id) AS r FROM v x JOIN v y ON x.type = y.type AND x.id <> y.id) WHERE r = 1""")
 def f20_nearest_of_type(spark, d):
-    """The most similar other skill of every skill; of equal ones the smaller id."""
-    v = nodes_of(spark, d).where("archived = 0 and type = 'skill' and size(embedding) = 64").where(V.norm(c("embedding")) > 0).select("id", "type", F.transform("embedding", lambda x: x.cast("double") / V.norm(c("embedding"))).alias("u"))
+    """The most similar other node of its type for every skill and task; of equal ones the smaller id."""
+    v = nodes_of(spark, d).where("archived = 0 and type in ('skill', 'task') and size(embedding) = 64").where(V.norm(c("embedding")) > 0).select("id", "type", F.transform("embedding", lambda x: x.cast("double") / V.norm(c("embedding"))).alias("u"))
     j = v.select(c("id").alias("a"), "type", c("u").alias("ua")).join(v.select(c("id").alias("b"), "type", c("u").alias("ub")), "type").where("a <> b").select("a", "b", V.dot(c("ua"), c("ub")).alias("cos"))
     return j.groupBy("a").agg(F.min_by(F.struct("b", "cos"), F.struct(-F.round("cos", 9), c("b"))).alias("m")).select("a", "m.b", F.round("m.cos", 6).alias("cosine"))
 
@@ -661,7 +722,7 @@ def g6_cycles(spark, d):
 @R.query()
 def g7_tree(spark, d):
     """Pre-order of the forest of first parents by importance; checked in the tests."""
-    return graph.tree_rows(edges_of(spark, d), nodes_of(spark, d)).select("id", "depth", "sort_path")
+    return graph.tree_rows(edges_of(spark, d), nodes_of(spark, d)).select("id", c("depth").cast("long").alias("depth"), "sort_path")
 
 
 @R.query(f"{UP_SQL} SELECT anc AS id, count(DISTINCT node) AS descendants FROM ok GROUP BY anc")
@@ -680,7 +741,8 @@ def g10_communities(spark, d):
 def g11_link_hop(spark, d):
     f = _files(spark, d)
     s = search.file_scores(f, _QUERY)
-    links = table(spark, d, "documents").where("path is not null").select("path", F.explode(X.file_links(c("text"))).alias("target")).distinct()
+    v = table(spark, d, "vault_file_nodes").select("path", "node_id")
+    links = v.join(v.select(c("path").alias("target"), "node_id"), "node_id").where("path <> target").select("path", "target").distinct()  # files of one node, which has few
     return search.hop(s, links, f).select("path", "score")
 
 
@@ -711,7 +773,7 @@ def h3_query_touch(spark, d):
     """The touch delta of all nodes a query found, before any limit."""
     n = nodes_of(spark, d)
     found = search.search_nodes(n, _QUERY).select("id")
-    return decaying.touched(n, edges_of(spark, d), found, AS_OF).select("id", "weight", "access_count", "last_accessed").join(n.select("id", c("last_accessed").alias("before")), "id").where("last_accessed is distinct from before").drop("before")
+    return decaying.touched(n, edges_of(spark, d), found, AS_OF).select("id", F.round("weight", 6).alias("weight"), c("access_count").cast("long").alias("access_count"), "last_accessed").join(n.select("id", c("last_accessed").alias("before")), "id").where("last_accessed is distinct from before").drop("before")
 
 
 @R.query()
@@ -732,14 +794,28 @@ def h8_digest(spark, d):
     n, own = nodes_of(spark, d), owner_of(spark, d)
     a = answers.top_of_mind(n, own).select(F.lit("top").alias("section"), c("id").alias("ref"), F.col("score").alias("value"))
     b = decaying.at_risk(n, AS_OF).select(F.lit("fading").alias("section"), c("id").alias("ref"), F.round("days_left", 6).alias("value"))
-    e = answers.breakdown(n, edges_of(spark, d), own).select(F.lit("area").alias("section"), c("id").alias("ref"), F.col("descendants").cast("double").alias("value"))
+    e = answers.breakdown(n, below_owner(spark, d, own), own).select(F.lit("area").alias("section"), c("id").alias("ref"), F.col("descendants").cast("double").alias("value"))
     return a.unionByName(b).unionByName(e)
 
 
-@R.query(f"""SELECT id, phrase, CAST(age AS BIGINT) AS age_days FROM (SELECT id, CAST(floor(({AS_OF} - created_at) / 86400) AS INT) AS age, coalesce(content, '') AS t,
-    CASE WHEN floor(({AS_OF} - created_at) / 86400) >= 30 AND NOT regexp_matches(coalesce(content, ''), '{X.DATED}') AND regexp_matches(coalesce(content, ''), '{X.PLAN}') THEN regexp_extract(coalesce(content, ''), '{X.PLAN}', 0) END AS phrase FROM nodes WHERE archived = 0 AND type <> 'category') WHERE phrase IS NOT NULL""")
+#: Contents with claims, of which the tables have none: plans, promises with a date, dated plans and cited loops.
+_CLAIM = "concat(coalesce(content, ''), CASE abs(access_count) % 5 WHEN 0 THEN ' It plans to grow.' WHEN 1 THEN ' It will open on May 5, 2026.' WHEN 2 THEN ' As of May it plans to stay.' WHEN 3 THEN ' It waits for L-' || lpad(CAST(abs(access_count) % 1000 AS VARCHAR), 3, '0') || ' and plans to go on.' ELSE '' END)"
+_PROMISE = D.PROMISED.replace("content", "c")
+_pg = lambda g: f"regexp_extract(c, '{_PROMISE}', {g})"
+
+
+@R.query(rf"""SELECT id, phrase, CAST(age AS BIGINT) AS age_days FROM (SELECT id, age, coalesce(
+      CASE WHEN len(cited) > 0 THEN 'cites closed ' || array_to_string(cited, ', ') END,
+      CASE WHEN try_cast(concat(coalesce(nullif({_pg(3)}, ''), CAST(year({DAY}) AS VARCHAR)), '-', {MONTH_NO.format(_pg(1))}, '-', {_pg(2)}) AS DATE) < {DAY} AND {MONTH_NO.format(_pg(1))} IS NOT NULL THEN trim({_pg(0)}) || ' (passed)' END,
+      CASE WHEN age >= 30 AND NOT regexp_matches(c, '{X.DATED}') AND regexp_matches(c, '{X.PLAN}') THEN regexp_extract(c, '{X.PLAN}', 0) END) AS phrase
+    FROM (SELECT id, c, age, list_filter(regexp_extract_all(c, '\bL-\d{{3}}\b'), lambda r, i: list_position(regexp_extract_all(c, '\bL-\d{{3}}\b'), r) = i AND CAST(right(r, 1) AS INT) % 2 = 0) AS cited FROM (SELECT id, {_CLAIM} AS c, CAST(floor(({AS_OF} - created_at) / 86400) AS INT) AS age FROM nodes WHERE archived = 0 AND type <> 'category'))) WHERE phrase IS NOT NULL""")
 def i2_stale_claims(spark, d):
-    return I.stale_claims(nodes_of(spark, d), AS_OF).where(~c("phrase").endswith("(passed)")).select("id", "phrase", c("age_days").cast("long").alias("age_days"))
+    """Cited closed loops first, here those of even numbers, then promises whose day is past, then plans of a month and more."""
+    k = F.abs("access_count")
+    claim = F.when(k % 5 == 0, " It plans to grow.").when(k % 5 == 1, " It will open on May 5, 2026.").when(k % 5 == 2, " As of May it plans to stay.").when(k % 5 == 3, F.concat(F.lit(" It waits for L-"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit(" and plans to go on."))).otherwise("")
+    n = nodes_of(spark, d).withColumn("content", F.concat(F.coalesce("content", F.lit("")), claim))
+    closed = spark.range(0, 1000, 2).select(F.format_string("L-%03d", "id").alias("id"))
+    return I.stale_claims(n, AS_OF, closed).select("id", "phrase", c("age_days").cast("long").alias("age_days"))
 
 
 @R.query("SELECT 'index' AS check, CASE WHEN (SELECT max(indexed_at) FROM vault_files) >= (SELECT max(mtime) FROM vault_files) THEN 'ok' ELSE 'stale' END AS status UNION ALL SELECT 'coverage', CASE WHEN (SELECT count(*) FROM nodes WHERE archived = 0 AND importance >= 0.7 AND path IS NULL) = 0 THEN 'ok' ELSE 'gap' END")

@@ -7,7 +7,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def cell(v):
-    if v is None or (isinstance(v, float) and v != v) or v is pd.NaT:
+    if v is None or (isinstance(v, float) and v != v) or v is pd.NaT or v is pd.NA:
         return "NULL"
     if hasattr(v, "tolist"):
         v = v.tolist()

@@ -137,8 +137,8 @@ def realise(docs: DataFrame, plans: list[dict], rec_id: str = "doc_id", seed: in
     A source's budget is floor(budget / size) whole permutations plus the opening of one more: texts are ordered by a
     seeded hash and taken until the rest of the budget is met (the text that crosses it is left out).  Sums run over hash
     blocks first, and only the one block that holds the crossing is ordered row by row, so no task sees a whole source.
-    What is still missing is filled up by the unused text whose size is nearest to it, one a source and round, as long as that
-    brings the source nearer to its budget.
+    What is still missing is filled up by unused texts, one a source and round: the largest that fits, or where none does the
+    smallest if that brings the source nearer to its budget.
     """
     spark = docs.sparkSession
     rows = []
@@ -172,7 +172,7 @@ def realise(docs: DataFrame, plans: list[dict], rec_id: str = "doc_id", seed: in
         free = laid.join(open_, "source").where((F.col("uses") == F.col("whole")) & (F.col("n_tokens") < 2 * F.col("miss")) & (F.col("n_tokens") > 0))
         if extra:
             free = free.join(F.broadcast(spark.createDataFrame(extra, f"source string, {rec_id} {laid.schema[rec_id].dataType.simpleString()}")), ["source", rec_id], "left_anti")
-        best = free.groupBy("source").agg(F.min(F.struct(F.abs(F.col("n_tokens") - F.col("miss")).alias("off"), F.col(rec_id).alias("rec"), "n_tokens")).alias("b")).collect()
+        best = free.groupBy("source").agg(F.min(F.struct((F.col("n_tokens") > F.col("miss")).alias("over"), F.abs(F.col("n_tokens") - F.col("miss")).alias("off"), F.col(rec_id).alias("rec"), "n_tokens")).alias("b")).collect()
         if not best:
             break
         for r in best:

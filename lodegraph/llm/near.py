@@ -28,10 +28,10 @@ from ..workspace import Workspace
 
 #: Blocks above the bound that a record's empty blocks may use up; records with more of them also emit those.
 SPARE = 2
-#: Rows of one key that are compared in one run; a key that surely has more is cut into blocks.
+#: Rows of one key that are compared in one run; a key that has more is cut into blocks.
 RUN = 32_768
-#: Records from which frequent keys are told beforehand; every record is joined whatever the sample says.
-SAMPLE = 20_000
+#: Counters that keys are first counted by; only keys of full ones are counted themselves.
+COUNTERS = 1 << 18
 
 
 def word_sets(df: DataFrame, rec_id: Column, parts: list[Column], least: int = 20) -> DataFrame:
@@ -226,12 +226,27 @@ def class_pairs(ws: Workspace, classes: DataFrame, threshold: float, rare_df: in
                 off = b.column("toks").offsets.to_numpy()
                 yield sketches(b.column("cls").to_numpy(), off - off[0], b.column("toks").flatten().to_numpy(), *common.value, threshold, ups, credit, share_of_blocks)
 
-    # Keys that a bounded sample shows to be frequent.
-    sample = classes.where(F.pmod(F.xxhash64(F.lit(11), "cls"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE / total["n"]))).toArrow()
-    seen, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(k[0] for k in keyed(iter(sample.to_batches())))]), return_counts=True)
-    blocks = np.ceil(n * (total["n"] / max(1, sample.num_rows)) / (RUN / 2)).astype(np.int64)
-    hot = (blocks > 2) & (n > 20)
-    frequent = spark.sparkContext.broadcast((seen[hot], blocks[hot]))
+    # Keys that are too frequent for one run, exactly: counters first, which tasks add up, then the keys of full counters.
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for k, *_ in keyed(batches):
+            total += np.bincount((k % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    at = classes.mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") > RUN).toArrow()["at"].to_numpy()  # no more than rows / RUN
+    full = spark.sparkContext.broadcast(np.sort(at))
+
+    def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, *_ in keyed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(k[np.isin((k % np.uint64(COUNTERS)).astype(np.int64), full.value)].view(np.int64))], names=["key"])
+
+    seen, blocks = np.empty(0, np.uint64), np.empty(0, np.int64)
+    if len(at):
+        rows = classes.mapInArrow(suspected, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > RUN).toArrow()  # no more than rows / RUN
+        order = np.argsort(rows["key"].to_numpy().view(np.uint64))
+        seen, blocks = rows["key"].to_numpy().view(np.uint64)[order], np.ceil(rows["n"].to_numpy()[order] / (RUN / 2)).astype(np.int64)
+    frequent = spark.sparkContext.broadcast((seen, blocks))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in keyed(batches):

@@ -112,6 +112,19 @@ def test_near_empty_and_frequent_keys(spark):
     assert met >= set(combinations(range(6), 2)) and (6, 7) in met and not any(a < 6 <= b for a, b in met)
 
 
+def test_frequent_keys_are_split_exactly(spark, monkeypatch):
+    """A key that more records hold than one run compares: all of a third share their common words."""
+    monkeypatch.setattr(near, "RUN", 40)
+    r = random.Random(6)
+    shared = [f"c{i}" for i in range(30)]
+    docs = [(f"h{i:03}", " ".join([*shared, *(f"u{i}_{j}" for j in range(r.randint(1, 4)))])) for i in range(150)] + [(f"o{i:03}", " ".join(r.sample([f"v{j}" for j in range(90)], 30))) for i in range(300)]
+    df = spark.createDataFrame(docs, "id string, text string").repartition(6)
+    m, links = near.linked(near.word_sets(df, F.col("id"), [F.col("text")]), rare_df=20, share_of_blocks=1.0)
+    got = {(x["a_id"], x["b_id"]) for x in near.expand(m, links).collect()}
+    sets = [(i, set(t.split())) for i, t in docs]
+    assert got == {(a, b) for (a, x), (b, y) in combinations(sets, 2) if len(x & y) >= 0.7 * len(x | y)} and len(got) > 10_000
+
+
 def test_sketch_is_a_lower_bound():
     r = np.random.default_rng(0)
     for _ in range(50):
@@ -506,7 +519,7 @@ def test_weights_by_bisected_exponent():
 
 def test_large_texts_fill_a_small_budget(spark):
     """A budget that whole texts meet badly: the nearest ones fill it up, and the mixture stays within one percent."""
-    docs = spark.createDataFrame([(i, "s", n) for i, n in enumerate([400, 390, 380, 70, 60, 50, 9, 8, 3, 2, 1] + [500] * 40)], "doc_id long, source string, n_tokens long")
+    docs = spark.createDataFrame([(i, "s", n) for i, n in enumerate([400, 390, 380, *range(1, 90)] + [500] * 40)], "doc_id long, source string, n_tokens long")
     sizes = mixing.source_sizes(docs, spark.createDataFrame([("s", 1.0, 3)], "source string, target_share double, max_repeats int"))
     for budget in (1000, 1777, 23456, 60000):
         got = mixing.realise(docs, mixing.plan(sizes, budget=budget)).collect()

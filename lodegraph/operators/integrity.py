@@ -177,8 +177,8 @@ def name_duplicates(nodes: DataFrame, owner: str = "owner") -> DataFrame:
     """(a, b, reason): active nodes of one type, no categories, with equal names (equal), of people one name within the other
     (subset), or names alike by ratio (ratio).
 
-    Equality and subsets are joined by name and by rarest token.  Names alike in nine tenths share one of their thirds or
-    differ within the reach of shared character four-grams; these bring candidates together instead of all pairs of a type.
+    Equality and subsets are joined by name and by rarest token.  Names alike in nine tenths share one of their rarest bigrams; these
+    bring candidates together instead of all pairs of a type.
     """
     n = active(nodes).where("type <> 'category'").select("id", "type", X.integrity_name(F.col("name"), owner).alias("n")).where("n <> ''")
     a = n.select(F.col("id").alias("a"), "type", "n")
@@ -191,11 +191,13 @@ def name_duplicates(nodes: DataFrame, owner: str = "owner") -> DataFrame:
     sub = rare.select(F.col("id").alias("x"), F.col("t").alias("tx"), F.col("n").alias("nx"), "w").join(token.select(F.col("id").alias("y"), F.col("t").alias("ty"), F.col("n").alias("ny"), "w"), "w").where((F.col("x") != F.col("y")) & (F.col("nx") != F.col("ny")) & (F.size(F.array_except("tx", "ty")) == 0))
     subset = sub.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit("subset").alias("reason")).distinct()
     names = n.select("type", "n").distinct()
-    grams = names.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("n") - 3)), lambda i: F.substring(F.col("n"), i, F.lit(4))))))
-    gf = grams.groupBy("type", "g").count()
-    # A name alike in 0.9 keeps most four-grams: at most 4 are lost per edited run, and 2 (1 - 0.9) of the letters may be edited.
-    ranked = grams.join(gf, ["type", "g"]).groupBy("type", "n").agg(F.array_sort(F.collect_list(F.struct("count", "g"))).alias("gs"))
-    pre = ranked.select("type", "n", F.explode(F.slice("gs", 1, F.least(F.size("gs"), (F.ceil(F.length("n") * 0.2 / 0.9) * 4 + 1).cast("int")))).alias("x")).select("type", "n", "x.g")
+    padded = F.concat(F.lit("^"), F.col("n"), F.lit("$"))
+    grams = names.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") + 1), lambda i: F.substring(padded, i, F.lit(2))))))
+    gf = grams.groupBy("type", "g").count()  # no more than pairs of letters
+    # Of two names alike in nine tenths with n and m letters at most (n + m) / 10 letters are outside the matching blocks, and m is n * 9 / 11 at least.
+    # A letter left out takes two bigrams of a name, one put in takes one: at most two fifths of n.  So one of the rarest n * 2 / 5 + 1 is shared.
+    ranked = grams.join(gf, ["type", "g"]).groupBy("type", "n").agg(F.array_sort(F.collect_list(F.struct("count", "g"))).alias("gs"))  # a name's own
+    pre = ranked.select("type", "n", F.explode(F.slice("gs", 1, F.floor(F.length("n") * 0.4).cast("int") + 1)).alias("x")).select("type", "n", "x.g")
     cand = pre.select("type", "g", F.col("n").alias("n1")).join(pre.select("type", "g", F.col("n").alias("n2")), ["type", "g"]).where("n1 < n2 and 20 * least(length(n1), length(n2)) >= 9 * (length(n1) + length(n2))").select("type", "n1", "n2").distinct()
     alike = ratio_at_least(cand, "n1", "n2")
     ratio = alike.join(a.withColumnRenamed("n", "n1"), ["type", "n1"]).join(b.withColumnRenamed("n", "n2"), ["type", "n2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit("ratio").alias("reason"))

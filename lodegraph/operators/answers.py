@@ -40,10 +40,12 @@ def top_of_mind(nodes: DataFrame, owner: str | None, limit: int = 6) -> DataFram
 
 
 def breakdown(nodes: DataFrame, edges: DataFrame, owner: str) -> DataFrame:
-    """(id, descendants) of the categories right below the owner; archived descendants count."""
+    """(id, descendants) of the categories right below the owner; archived descendants count, ids that are no nodes don't."""
     from .hierarchy import closure
 
     links = edges.where("relation = 'part_of'").select(F.col("source_id").alias("child"), F.col("target_id").alias("parent")).distinct()
+    known = nodes.select(F.col("id").alias("_id"))
+    links = links.join(known, F.col("child") == F.col("_id"), "left_semi").join(known, F.col("parent") == F.col("_id"), "left_semi")
     top = links.where(F.col("parent") == owner).join(nodes.where("type = 'category'").select(F.col("id").alias("child")), "child", "left_semi").select(F.col("child").alias("id"))
     size = graph.subtree_sizes(closure(links))
     return top.join(size, "id", "left").select("id", F.coalesce("descendants", F.lit(0)).alias("descendants"))

@@ -159,7 +159,7 @@ def b24_novelty(spark, d):
     return n.select("id", X.novel(c("old"), c("new")).alias("is_novel"))
 
 
-_old, _news = "trim(coalesce(content, ''))", "trim(concat(coalesce(name, ''), ' was seen again. ', coalesce(content, ''), ' It is larger now, and much heavier.'))"
+_old, _news = "trim(coalesce(content, ''))", "trim(concat('It was seen again. ', coalesce(content, ''), ' It is larger now, and much heavier.'))"
 _join = rf"CASE WHEN o = '' THEN n ELSE regexp_replace(concat(regexp_replace(o, '[. ]+$', ''), '. ', n), '^[. ]+|[. ]+$', '', 'g') || '.' END"
 _new_words = f"len(list_filter(list_filter(list_distinct({WORDS.format('n')}), lambda t: NOT list_contains({sql_list(X.STOP)}, t)), lambda x: NOT list_contains({WORDS.format('content')}, x)))"
 
@@ -170,7 +170,7 @@ _new_words = f"len(list_filter(list_filter(list_distinct({WORDS.format('n')}), l
 def b25_absorbed(spark, d):
     """Contents with a novel one appended, trimmed by sentences."""
     n = table(spark, d, "nodes")
-    news = F.concat(F.coalesce("name", F.lit("")), F.lit(" was seen again. "), F.coalesce("content", F.lit("")), F.lit(" It is larger now, and much heavier."))
+    news = F.concat(F.lit("It was seen again. "), F.coalesce("content", F.lit("")), F.lit(" It is larger now, and much heavier."))
     return n.select("id", X.absorbed(c("content"), news).alias("content"))
 
 

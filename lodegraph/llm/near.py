@@ -28,6 +28,8 @@ from ..workspace import Workspace
 
 #: Blocks above the bound that a record's empty blocks may use up; records with more of them also emit those.
 SPARE = 2
+#: Sizes of a band, the largest to the smallest.  Narrow bands bound the differing words closely, which makes blocks large, but a record is in more of them.
+BAND = 1.25
 #: Rows of one key that are compared in one run; a key that has more is cut into blocks.
 RUN = 32_768
 #: Counters that keys are first counted by; only keys of full ones are counted themselves.
@@ -42,11 +44,11 @@ def word_sets(df: DataFrame, rec_id: Column, parts: list[Column], least: int = 2
     return x
 
 
-def bands(least: int, threshold: float) -> np.ndarray:
-    """Upper sizes of the size bands: a record meets records of its own band and of the next ones up to size / threshold."""
+def bands(least: int) -> np.ndarray:
+    """Upper sizes of the size bands: a record meets records of its own band and of the next ones up to its size / threshold."""
     ups, n = [], least
     while n < 1e8:
-        n = max(n, int(n / threshold))
+        n = max(n, int(n * BAND))
         ups.append(n)
         n += 1
     return np.array(ups)
@@ -202,7 +204,7 @@ def class_pairs(ws: Workspace, classes: DataFrame, threshold: float, rare_df: in
     order = np.argsort(rows["t"].to_numpy().view(np.uint64))
     words_of = (rows["t"].to_numpy().view(np.uint64)[order], rows["count"].to_numpy()[order] / total["n"])
     common = spark.sparkContext.broadcast(words_of)
-    ups = bands(least, threshold)
+    ups = bands(least)
 
     def rare_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least_rare = 1

@@ -1,16 +1,14 @@
 """Problem 2: records whose word sets are almost the same.
 
-Parity-sketch join.  Every word flips one bit of a record's sketch, so two sketches differ in at most as many bits as the sets
-differ in words: the Hamming distance is a lower bound of the symmetric difference, which a Jaccard threshold bounds
-from above.  Sets that differ in at most k words agree in a block of any division into k + 1 blocks.
-
-Words of one record differ much in what they tell, so there are two tiers.
-* Rare words (in at most `rare_df` records) are blocks of their own: records that share one meet there.
-* Records that share no rare word differ in all of theirs, so their common words differ in at most k less both numbers of rare words.
-  The common words are divided into blocks per size band; the parity hash of a block is its key.
-With `share_of_blocks` = 1 every pair over the threshold shares a rare word or a block, whatever the data are.  Fewer blocks tell
-much more each: with the default half, pairs without a shared rare word are certain up to half of the largest possible difference, and
-beyond it d differing words miss one of g blocks with probability 1 - (1 - (1 - 1/g)^d)^g or so, 0.95 in the worst case.  The exact word sets decide.
+Prefix-filtered join with parity sketches.  All words have one order, rarest first: words in at most `rare_df` records by hash, then
+the others by the number of records they are in.  A Jaccard threshold bounds from below how many words two sets of given sizes share; sets of n and m
+words that share c have one of their first n - c + 1 and m - c + 1 words in common.
+
+Sizes are divided into bands, and every pair of bands that a pair of records can be in is a cell with keys of its own: the closer the
+sizes are known, the fewer words open a set.  So every pair over the threshold meets at a word of a cell, whatever the data are.
+
+Pairs that meet are filtered by sketches: every word flips one bit of a record's sketch, so two sketches differ in at most as many bits as
+the sets differ in words, and the threshold bounds that from above.  The exact word sets decide.
 """
 
 from __future__ import annotations
@@ -26,10 +24,10 @@ from pyspark.sql import functions as F
 from ..functions.words import words
 from ..workspace import Workspace
 
-#: Blocks above the bound that a record's empty blocks may use up; records with more of them also emit those.
-SPARE = 2
-#: Sizes of a band, the largest to the smallest.  Narrow bands bound the differing words closely, which makes blocks large, but a record is in more of them.
+#: Sizes of a band, the largest to the smallest.  Narrow bands bound the shared words closely, which makes prefixes short, but a record is in more cells.
 BAND = 1.25
+#: Rows and columns of a piece of a table of distances, which fits a core's cache.
+TILE = 128, 2048
 #: Rows of one key that are compared in one run; a key that has more is cut into blocks.
 RUN = 32_768
 #: Counters that keys are first counted by; only keys of full ones are counted themselves.
@@ -54,22 +52,6 @@ def bands(least: int) -> np.ndarray:
     return np.array(ups)
 
 
-def block_count(up: int, alpha: float, credit: int, share_of_blocks: float) -> int:
-    """Blocks of a band: a share of the number that makes agreement certain, and the spare ones."""
-    certain = max(1, math.floor(2 * alpha * up + 1e-9) - 2 * credit + 1)
-    return max(1, math.ceil(share_of_blocks * certain)) + SPARE
-
-
-def allot(share: np.ndarray, blocks: int) -> np.ndarray:
-    """The block of every common word: words that tell most first, each to the block that tells least so far."""
-    tells = -np.log2(np.clip(share**2 + (1 - share) ** 2, 1e-12, 1))
-    load, out = np.zeros(blocks), np.empty(len(share), np.int64)
-    for i in np.argsort(-tells, kind="stable"):
-        out[i] = load.argmin()
-        load[out[i]] += tells[i]
-    return out
-
-
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
     """A second hash of 64-bit hashes."""
     z = x + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)
@@ -78,9 +60,9 @@ def mix(x: np.ndarray, salt: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def packed(sketch: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """52 bits of sketch and 12 of size in one number; sizes from 4095 on are written as 4095 and not compared by sketch."""
-    return (sketch << np.uint64(12)) | np.minimum(size, 4095).astype(np.uint64)
+def packed(sketch: np.ndarray, side: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """52 bits of sketch, 2 of the side in its cell (0 a cell of one band, 1 the smaller, 2 the larger band) and 10 of size in one number; sizes from 1023 on are written as 1023 and not compared by sketch."""
+    return (sketch << np.uint64(12)) | (side.astype(np.uint64) << np.uint64(10)) | np.minimum(size, 1023).astype(np.uint64)
 
 
 def parity_sketch(h: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,41 +75,43 @@ def parity_sketch(h: np.ndarray, owner: np.ndarray, count: int) -> tuple[np.ndar
     return a, b
 
 
-def sketches(cls: np.ndarray, offsets: np.ndarray, toks: np.ndarray, common: np.ndarray, share: np.ndarray, threshold: float, ups: np.ndarray, credit: int, share_of_blocks: float) -> tuple[np.ndarray, ...]:
-    """Rows (key, cls, sketch, sketch and size) of both tiers for records given as flat arrays; credit: rare words that every record surely has, at most 1."""
+def ordered(owner: np.ndarray, h: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The words of every record (flat, by owner and by hash), rarest first."""
+    if not len(common):
+        return h
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    place = np.where(common[at] == h, rank[at], 0)
+    return h[np.argsort(owner * (len(common) + 1) + place, kind="stable")]
+
+
+def sketches(cls: np.ndarray, offsets: np.ndarray, toks: np.ndarray, common: np.ndarray, rank: np.ndarray, threshold: float, ups: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows (key, cls, sketch, sketch, side and size) of the words that open a record in each of its cells, for records given as flat arrays; rank: places of common words from 1 on."""
     n = np.diff(offsets)
     owner = np.repeat(np.arange(len(n)), n)
     h = toks.view(np.uint64)
-    at = np.searchsorted(common, h)
-    at = np.minimum(at, max(0, len(common) - 1))
-    is_common = common[at] == h if len(common) else np.zeros(len(h), bool)
-    rare = np.bincount(owner[~is_common], minlength=len(n))
     sk, rest = parity_sketch(h, owner, len(n))
-    keys, owners = [mix(h[~is_common], 1)], [owner[~is_common]]
-    alpha = (1 - threshold) / (1 + threshold)
-    band = np.searchsorted(ups, n)
-    top = np.searchsorted(ups, np.floor(n / threshold + 1e-9).astype(np.int64))
-    c_owner, c_at, c_hash = owner[is_common], at[is_common], mix(h[is_common], 1000)
-    for level in range(int(band.min()) if len(n) else 0, int(top.max()) + 1 if len(n) else 0):
-        # The larger record of a pair is in this band; the smaller one has at least threshold times its size.
-        # A record with more rare words than the bound allows can't be in such a pair.
-        inside = (band <= level) & (level <= top) & (rare + credit <= 2 * alpha * ups[level] + 1e-9)
-        if not inside.any():
+    h = ordered(owner, h, common, rank)
+    least_of = np.r_[0, ups[:-1] + 1]
+    share = threshold / (1 + threshold)
+    smallest, largest = np.ceil(threshold * n - 1e-9).astype(np.int64), np.floor(n / threshold + 1e-9).astype(np.int64)
+    band, low, top = np.searchsorted(ups, n), np.searchsorted(ups, smallest), np.searchsorted(ups, largest)
+    keys, owners, sides = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for step in range(int((low - band).min()) if len(n) else 0, int((top - band).max()) + 1 if len(n) else 0):
+        other = band + step  # the other record's band
+        inside = np.flatnonzero((low <= other) & (other <= top))
+        if not len(inside):
             continue
-        blocks = block_count(int(ups[level]), alpha, credit, share_of_blocks)
-        pick = inside[c_owner]
-        place = (np.cumsum(inside) - 1)[c_owner[pick]] * blocks + allot(share, blocks)[c_at[pick]]
-        parity = np.zeros(int(inside.sum()) * blocks, np.uint64)
-        np.bitwise_xor.at(parity, place, c_hash[pick])
-        filled = np.zeros(len(parity), bool)
-        filled[place] = True
-        empty = blocks - filled.reshape(-1, blocks).sum(axis=1)
-        emit = filled | np.repeat(empty > SPARE, blocks)
-        which = np.tile(np.arange(blocks, dtype=np.uint64), int(inside.sum())) + np.uint64(level << 32)
-        keys.append(mix(parity ^ mix(which, 3), 4)[emit])
-        owners.append(np.repeat(np.flatnonzero(inside), blocks)[emit])
+        size, other = n[inside], other[inside]
+        overlap = np.ceil(share * (size + np.maximum(least_of[other], smallest[inside])) - 1e-9).astype(np.int64)
+        first = np.minimum(size - overlap + 1, size)
+        o = np.repeat(inside, first)
+        at = offsets[o] + np.arange(len(o)) - np.repeat(np.cumsum(first) - first, first)
+        cell = (np.maximum(band[inside], other) << 32) + np.minimum(band[inside], other)
+        keys.append(mix(h[at] ^ mix(np.repeat(cell, first).astype(np.uint64), 3), 4))
+        owners.append(o)
+        sides.append(np.full(len(o), 0 if step == 0 else 1 if step > 0 else 2))
     key, o = np.concatenate(keys), np.concatenate(owners)
-    return key, cls[o], sk[o], packed(rest, n)[o]
+    return key, cls[o], sk[o], packed(rest[o], np.concatenate(sides), n[o])
 
 
 def split_frequent(key: np.ndarray, cls: np.ndarray, sk: np.ndarray, pack: np.ndarray, frequent: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -151,17 +135,43 @@ def split_frequent(key: np.ndarray, cls: np.ndarray, sk: np.ndarray, pack: np.nd
 
 
 def close_pairs(key: np.ndarray, cls: np.ndarray, sk: np.ndarray, pack: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs of rows of equal keys (sorted) whose sketches and sizes allow the threshold, as a 2 x n array of classes."""
+    """Pairs of rows of equal keys (sorted) whose sides, sketches and sizes allow the threshold, as a 2 x n array of classes."""
     alpha = (1 - threshold) / (1 + threshold)
-    size, rest = (pack & np.uint64(4095)).astype(np.float32), pack >> np.uint64(12)
-    reach = np.where(size >= 4095, np.float32(1e9), np.float32(alpha) * size + np.float32(1e-4))
+    size, side, rest = (pack & np.uint64(1023)).astype(np.float32), (pack >> np.uint64(10)) & np.uint64(3), pack >> np.uint64(12)
+    reach = np.where(size >= 1023, np.float32(127), np.minimum(np.float32(alpha) * size + np.float32(1e-4), np.float32(127)))  # 116 bits are all there are
     out: list[np.ndarray] = []
 
     def keep(x: np.ndarray, y: np.ndarray) -> None:
         lo, hi = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-        ok = ((lo >= np.float32(threshold) * hi - 1e-3) | (hi >= 4095)) & (cls[x] != cls[y])
+        ok = ((lo >= np.float32(threshold) * hi - 1e-3) | (hi >= 1023)) & (cls[x] != cls[y])
         x, y = x[ok], y[ok]
-        out.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]))
+        if len(x):
+            out.append(np.stack([np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])]))
+
+    def table(left: np.ndarray, right: np.ndarray, same: bool) -> None:
+        """All pairs of two sets of rows, both by size; of one set with itself each once."""
+        l1, l2, ls, lr = sk[left], rest[left], size[left], reach[left]
+        r1, r2, rs, rr = sk[right], rest[right], size[right], reach[right]
+        rows, cols = TILE
+        for i in range(0, len(left), rows):
+            j = min(len(left), i + rows)
+            # Sorted by size: columns of sizes beyond the threshold can be left out.
+            first = i if same else int(np.searchsorted(rs, threshold * ls[i] - 1))
+            last = int(np.searchsorted(rs, ls[j - 1] / threshold + 1)) if ls[j - 1] < 700 else len(right)
+            for k in range(first, last, cols):
+                m = min(last, k + cols)
+                most = (lr[j - 1] + rr[k:m]).astype(np.uint8)[None, :]  # of all rows here
+                d = np.bitwise_count(l1[i:j, None] ^ r1[None, k:m])
+                if most[0, -1] > 20:  # half of the bits don't tell enough
+                    d += np.bitwise_count(l2[i:j, None] ^ r2[None, k:m])
+                at = np.flatnonzero(d <= most)
+                if not len(at):
+                    continue
+                a, b = i + at // (m - k), k + at % (m - k)
+                ok = np.bitwise_count(l1[a] ^ r1[b]) + np.bitwise_count(l2[a] ^ r2[b]) <= lr[a] + rr[b]
+                if same:
+                    ok &= b > a
+                keep(left[a[ok]], right[b[ok]])
 
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     length = np.diff(np.r_[starts, len(key)])
@@ -173,25 +183,18 @@ def close_pairs(key: np.ndarray, cls: np.ndarray, sk: np.ndarray, pack: np.ndarr
         if not len(x):
             break
         y = x + d
-        ok = np.bitwise_count(sk[x] ^ sk[y]) + np.bitwise_count(rest[x] ^ rest[y]) <= reach[x] + reach[y]
+        ok = ((side[x] != side[y]) | (side[x] == 0)) & (np.bitwise_count(sk[x] ^ sk[y]) + np.bitwise_count(rest[x] ^ rest[y]) <= reach[x] + reach[y])
         keep(x[ok], y[ok])
     for lo, n in zip(starts[length > 24], length[length > 24]):
         order = lo + np.argsort(size[lo : lo + n], kind="stable")
-        s1, s2, sz, rc = sk[order], rest[order], size[order], np.minimum(reach[order], 127)
-        for i in range(0, n, 256):
-            # Sorted by size: rows beyond size / threshold of the largest here can be left out.
-            last = int(np.searchsorted(sz, sz[min(n, i + 256) - 1] / threshold + 1)) if sz[min(n, i + 256) - 1] < 2800 else n
-            most = np.uint8(min(254, 2 * rc[last - 1]))  # of all pairs here
-            near = np.bitwise_count(s1[i : i + 256, None] ^ s1[None, i:last]) <= most
-            a, b = np.nonzero(near)
-            a, b = i + a[b > a], i + b[b > a]
-            d = np.bitwise_count(s1[a] ^ s1[b]) + np.bitwise_count(s2[a] ^ s2[b])
-            ok = d <= rc[a] + rc[b]
-            keep(order[a[ok]], order[b[ok]])
+        if side[lo] == 0:
+            table(order, order, True)
+        else:
+            table(order[side[order] == 1], order[side[order] == 2], False)
     return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.empty((2, 0), np.int64)
 
 
-def class_pairs(ws: Workspace, classes: DataFrame, threshold: float, rare_df: int | None, least: int, share_of_blocks: float) -> DataFrame:
+def class_pairs(ws: Workspace, classes: DataFrame, threshold: float, rare_df: int | None, least: int) -> DataFrame:
     """(a, b, jaccard): pairs of different classes (cls, toks) of equal word sets over the threshold, a < b."""
     spark = classes.sparkSession
     # Sums over all records: how many there are and the average size bound the list of common words, which travels.
@@ -202,31 +205,16 @@ def class_pairs(ws: Workspace, classes: DataFrame, threshold: float, rare_df: in
     freq = classes.select(F.explode("toks").alias("t")).groupBy("t").count().where(F.col("count") > rare_df)
     rows = freq.toArrow()  # at most words / rare_df: 4000 times the mean size of a record
     order = np.argsort(rows["t"].to_numpy().view(np.uint64))
-    words_of = (rows["t"].to_numpy().view(np.uint64)[order], rows["count"].to_numpy()[order] / total["n"])
-    common = spark.sparkContext.broadcast(words_of)
+    rank = np.empty(len(order), np.int64)
+    rank[np.argsort(rows["count"].to_numpy()[order], kind="stable")] = np.arange(1, len(order) + 1)
+    common = spark.sparkContext.broadcast((rows["t"].to_numpy().view(np.uint64)[order], rank))
     ups = bands(least)
 
-    def rare_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least_rare = 1
-        for b in batches:
-            off = b.column("toks").offsets.to_numpy()
-            h = b.column("toks").flatten().to_numpy().view(np.uint64)
-            if len(off) < 2:
-                continue
-            c = common.value[0]
-            hit = (c[np.minimum(np.searchsorted(c, h), len(c) - 1)] == h) if len(c) else np.zeros(len(h), bool)
-            off = off - off[0]
-            least_rare = min(least_rare, int(np.add.reduceat((~hit).astype(np.int64), off[:-1]).min()))
-        yield pa.RecordBatch.from_arrays([pa.array([least_rare], pa.int32())], names=["r"])
-
-    # If every record has a rare word the bound is two words tighter; one record without takes that away for all.
-    credit = classes.select("toks").mapInArrow(rare_count, "r int").agg(F.min("r")).first()[0]
-
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for b in batches:
             if b.num_rows:
                 off = b.column("toks").offsets.to_numpy()
-                yield sketches(b.column("cls").to_numpy(), off - off[0], b.column("toks").flatten().to_numpy(), *common.value, threshold, ups, credit, share_of_blocks)
+                yield sketches(b.column("cls").to_numpy(), off - off[0], b.column("toks").flatten().to_numpy(), *common.value, threshold, ups)
 
     # Keys that are too frequent for one run, exactly: counters first, which tasks add up, then the keys of full counters.
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,13 +281,13 @@ def linked(sets: DataFrame, threshold: float = 0.7, rare_df: int | None = None,
 
     sets: (id, toks) as `word_sets` gives them.  Records of equal word sets are one class, and links are between classes, so
     copies are never expanded; `expand` does that where a result asks for it.  Nothing is capped or sampled; an empty
-    input gives empty tables.
+    input gives empty tables.  `share_of_blocks` is taken for older callers only: every pair over the threshold is found whatever it is.
     """
     ws = Workspace(sets.sparkSession, "near")
     own = ws.save(sets.withColumn("cls", F.xxhash64("toks")))
     members = own.groupBy("id").agg(F.min("cls").alias("cls"))
     classes = ws.save(own.groupBy("cls").agg(F.first("toks").alias("toks")))
-    links = ws.save(class_pairs(ws, classes, threshold, rare_df, least, share_of_blocks))
+    links = ws.save(class_pairs(ws, classes, threshold, rare_df, least))
     return ws.save(members), links
 
 

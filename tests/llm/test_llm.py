@@ -125,6 +125,35 @@ def test_frequent_keys_are_split_exactly(spark, monkeypatch):
     assert got == {(a, b) for (a, x), (b, y) in combinations(sets, 2) if len(x & y) >= 0.7 * len(x | y)} and len(got) > 10_000
 
 
+def test_few_pairs_of_common_words_meet():
+    """Work: of records of a small vocabulary few pairs are compared, and all similar ones are among them."""
+    r = np.random.default_rng(2)
+    often = 1 / np.arange(540, 20, -1)
+    toks = [np.sort(r.choice(520, r.integers(25, 70), replace=False, p=often / often.sum())) for _ in range(1500)]
+    toks += [np.sort(np.r_[t[3:], r.choice(np.setdiff1d(np.arange(520), t), 2, replace=False)]) for t in toks[:100]]
+    names_of = np.sort(near.mix(np.arange(520, dtype=np.uint64), 5))
+    offsets = np.r_[0, np.cumsum([len(t) for t in toks])]
+    key, cls, _, pack = near.sketches(np.arange(len(toks)), offsets, names_of[np.concatenate(toks)].view(np.int64), names_of, np.arange(1, 521), 0.7, near.bands(20))
+    side, met = (pack >> np.uint64(10)) & np.uint64(3), set()
+    order = np.argsort(key)
+    for g in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        met |= {(min(cls[x], cls[y]), max(cls[x], cls[y])) for x, y in combinations(g.tolist(), 2) if side[x] != side[y] or side[x] == 0}
+    shared = {(i, 1500 + i): len(np.intersect1d(toks[i], toks[1500 + i])) for i in range(100)}
+    similar = {(a, b) for (a, b), n in shared.items() if n >= 0.7 * (len(toks[a]) + len(toks[b]) - n)}
+    assert len(similar) > 50 and similar <= met and len(met) < 0.2 * len(toks) ** 2 / 2, len(met)  # blocks of common words brought together 0.40 of all
+
+
+def test_near_sizes_far_apart(spark):
+    """Sets within other sets, at and beyond the threshold, up to sizes that sketches don't hold."""
+    docs = [(f"s{n}", " ".join(f"w{i}" for i in range(n))) for n in (20, 25, 26, 28, 29, 31, 35, 36, 37, 40, 50, 51, 58, 716, 717, 1023, 1024, 1461, 1462, 2087)]
+    df = spark.createDataFrame(docs, "id string, text string")
+    for rare_df in (None, 3):
+        m, links = near.linked(near.word_sets(df, F.col("id"), [F.col("text")]), rare_df=rare_df)
+        got = {(x["a_id"], x["b_id"]) for x in near.expand(m, links).collect()}
+        size = {i: len(t.split()) for i, t in docs}
+        assert got == {tuple(sorted((a, b))) for a, b in combinations(size, 2) if min(size[a], size[b]) >= 0.7 * max(size[a], size[b])}
+
+
 def test_sketch_is_a_lower_bound():
     r = np.random.default_rng(0)
     for _ in range(50):

@@ -1,6 +1,7 @@
 """Folds over loops and lines: the brief and the excerpts."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodegraph import workspace
 from lodegraph.functions import vocab
@@ -73,3 +74,13 @@ def test_workspace_needs_a_shared_folder(spark, monkeypatch):
     import os
 
     assert not os.path.exists(ws.root.removeprefix("file://"))
+
+
+def test_mentions_look_for_each_alias_once(spark):
+    """Areas of one alias share its search: they meet days, not texts."""
+    areas = spark.createDataFrame([("a", "2026-01-01", "The Lamp"), ("b", "2026-01-03", "the lamp"), ("c", "2026-01-01", "the lam"), ("d", "2026-01-01", None), ("e", "2026-01-01", "x.y")], "area string, updated string, alias string").withColumn("updated", F.to_date("updated"))
+    logs = spark.createDataFrame([("2026-01-02", "see the lamp."), ("2026-01-02", "see THE LAMP"), ("2026-01-04", "the lamp, again"), ("2026-01-05", "the lamps"), ("2026-01-06", "x.y"), ("2026-01-07", "xzy"), ("2026-02-01", "the lamp"), ("2026-01-08", None)], "date string, text string").withColumn("date", F.to_date("date"))
+    got = L.mentions(areas, logs, "2026-02-01")
+    assert sorted((r["area"], str(r["log_date"])) for r in got.collect()) == [("a", "2026-01-02"), ("a", "2026-01-04"), ("b", "2026-01-04"), ("e", "2026-01-06")]
+    searches = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RLIKE" in x]
+    assert searches and not any("updated" in x for x in searches)

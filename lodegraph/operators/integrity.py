@@ -155,6 +155,53 @@ def semantic_duplicates(nodes: DataFrame, edges: DataFrame, least: float = 0.89,
     return _kin(pairs, nodes, edges)
 
 
+def nearest_of_type(vectors: DataFrame, block: int = 4096) -> DataFrame:
+    """(a, b, cos): for every row of vectors (id, type, u of length 1) the most similar other one of its type, to nine places; of equal ones the smaller id.
+
+    Equal vectors are one class.  All pairs of a type's classes are compared, as products of matrices in blocks like `semantic_duplicates`; what may be
+    the nearest is then computed number by number, so that rounding doesn't depend on the blocks.
+    """
+    v = vectors.select("id", "type", "u").distinct()
+    classes = v.groupBy("type", "u").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    n = classes.groupBy("type").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    dealt = classes.join(n, "type").withColumn("own", F.pmod(F.xxhash64("first"), F.col("n")).cast("int"))
+    paired = dealt.select("type", "first", "own", "u", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x")).select("type", "first", "own", "u", F.least("own", "x").alias("lo"), F.greatest("own", "x").alias("hi"))
+
+    def compare(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        _, lo, hi = key
+        u, ids, own = np.array(p["u"].tolist(), float).reshape(len(p), -1), p["first"].to_numpy(), p["own"].to_numpy()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        out = []
+        for x, y in ((left, right), (right, left))[: 1 if lo == hi else 2]:
+            for i in range(0, len(x), 512):
+                if not len(y):
+                    break
+                rows = x[i : i + 512]
+                cos = u[rows] @ u[y].T
+                cos[np.isnan(cos)] = -np.inf
+                if lo == hi:
+                    cos[np.arange(len(rows)), i + np.arange(len(rows))] = -np.inf
+                a, b = np.nonzero(cos >= cos.max(axis=1, keepdims=True) - 3e-9)  # rounding and the order of sums are below that
+                a, b = rows[a], y[b]
+                a, b = a[a != b], b[a != b]
+                exact = np.zeros(len(a))
+                for d in range(u.shape[1]):
+                    exact += u[a, d] * u[b, d]
+                out.append(pd.DataFrame({"a": ids[a], "b": ids[b], "cos": exact}))
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "cos": []})
+
+    def best(rows: DataFrame, key: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.min_by(F.struct("b", "cos"), F.struct(-F.round("cos", 9), F.col("b"))).alias("m")).select(key, "m.b", "m.cos")
+
+    others = best(paired.groupBy("type", "lo", "hi").applyInPandas(compare, "a string, b string, cos double"), "a").withColumnRenamed("a", "first")
+    # Within a class the smallest other id.
+    second = v.join(classes.where("copies > 1"), ["type", "u"]).where("id <> first").groupBy("first").agg(F.min("id").alias("second"))
+    member = v.join(classes, ["type", "u"]).select("id", "first", V.dot(F.col("u"), F.col("u")).alias("cos"))
+    same = member.join(second, "first").select("id", F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("b"), "cos")
+    across = member.select("id", "first").join(others, "first").select("id", "b", "cos")
+    return best(same.unionByName(across), "id").withColumnRenamed("id", "a")
+
+
 def ratio_at_least(pairs: DataFrame, a: str, b: str, least: float = 0.9) -> DataFrame:
     """Pairs whose similarity by matching blocks reaches `least`; Arrow batches, after bounds by lengths and by edits, which stay in the JVM."""
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))

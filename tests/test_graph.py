@@ -1,5 +1,6 @@
 import difflib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,23 @@ def test_ratio_equals_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in I.name_duplicates(n).collect()} == want
 
 
+def test_nearest_of_type_equals_all_pairs(spark):
+    """Blocks smaller than the types; equal vectors, ties and a type with a single row."""
+    r = np.random.default_rng(3)
+    u = r.normal(size=(60, 4))
+    u = np.round(u / np.linalg.norm(u, axis=1, keepdims=True), 2)
+    u[20:30] = u[10:20]
+    u[40:43] = u[10]
+    rows = [(f"i{k:02}", "skill" if k < 45 else "task" if k < 59 else "event", x.tolist()) for k, x in enumerate(u)]
+    got = {(x["a"], x["b"], round(x["cos"], 6)) for x in I.nearest_of_type(spark.createDataFrame(rows, "id string, type string, u array<double>"), block=8).collect()}
+    want = set()
+    for a, t, x in rows:
+        best = min(((-round(sum(p * q for p, q in zip(x, y)), 9), b) for b, s, y in rows if s == t and a != b), default=None)
+        if best:
+            want.add((a, best[1], round(-best[0], 6)))
+    assert got == want and len(got) == 59
+
+
 def test_upsert(spark):
     n = nodes(spark, dict(id="p", type="person"), dict(id="q"), dict(id="r"))
     e = edges(spark, ("q", "r", "part_of", dict(weight=0.5)), ("q", "p", "requires", dict(weight=0.9)))

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import decay as D
@@ -220,12 +220,74 @@ def ratio_at_least(pairs: DataFrame, a: str, b: str, least: float = 0.9) -> Data
     return near.mapInPandas(run, near.schema)
 
 
+#: Names up to this length meet by places of letters, longer ones by pieces of these lengths, wherever they are.
+PLACED, PIECES = 40, (4, 5)
+
+
+def _edits(n: Column, m: Column) -> Column:
+    """The most letters to put in or leave out between names of n and m letters alike in nine tenths; as odd as n + m."""
+    most = F.floor(((n + m) / 10)).cast("int")
+    return most - F.pmod(most + n + m, F.lit(2))
+
+
+def _parts(n: Column) -> Column:
+    """Parts of a name: one more than edits to any longer name (of at most n * 11 / 9 letters)."""
+    return F.floor((n + F.floor(n * 11 / 9)) / 10).cast("int") + 1
+
+
+def _alike_candidates(names: DataFrame) -> DataFrame:
+    """(type, n1, n2): pairs of names (type, n) that may be alike in nine tenths, n1 < n2; none that is gets lost.
+
+    The shorter one is cut into one part more than there can be edits.  Some part i is whole in the longer one with exactly i edits before
+    it (the first part at which the edits up to its end are no more than its number), so it is moved by i, i - 2 ... -i letters,
+    and the rest has room for the other edits.  Letters and how often they occur flip one bit of a sketch each, so sketches differ in at most as many bits as there are edits.
+    """
+    name, size = F.col("n"), F.col("len")
+
+    def bit(p: Column) -> Column:
+        letter, head = F.substring(name, p, F.lit(1)), F.substring(name, F.lit(1), p)
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(letter, F.length(F.replace(head, letter, F.lit(""))) - p), F.lit(64)).cast("int"))
+
+    x = names.select("type", "n", F.length("n").alias("len"), F.xxhash64("type", "n").alias("id"))
+    x = x.withColumn("sk", F.aggregate(F.sequence(F.lit(1), size), F.lit(0).cast("long"), lambda s, p: s.bitwiseXOR(bit(p))))
+
+    def start(n: Column, i: Column) -> Column:
+        return F.floor(i * n / _parts(n)).cast("int")
+
+    def part(n: Column, i: Column, moved: Column) -> Column:
+        return F.substring(name, start(n, i) + moved + 1, start(n, i + 1) - start(n, i))
+
+    def placed(n: Column) -> Column:
+        most = _edits(n, size)
+
+        def of(i: Column) -> Column:
+            fits = F.filter(F.sequence(-i, i, F.lit(2)), lambda d: (F.abs(size - n - d) <= most - i) & (start(n, i) + d >= 0) & (start(n, i + 1) + d <= size))
+            return F.transform(fits, lambda d: F.xxhash64("type", n, i, part(n, i, d)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), most), of))
+
+    def pieces(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), size - k + 1), lambda p: F.xxhash64("type", F.substring(name, p, F.lit(k))))
+
+    own = F.transform(F.sequence(F.lit(0), _parts(size) - 1), lambda i: F.when(size <= PLACED, F.xxhash64("type", size, i, part(size, i, F.lit(0)))).otherwise(F.xxhash64("type", part(size, i, F.lit(0)))))
+    low = F.ceil(size * 9 / 11).cast("int")  # letters of the shorter name
+    near = F.when(low <= PLACED, F.flatten(F.transform(F.sequence(low, F.least(size, F.lit(PLACED))), placed))).otherwise(F.array().cast("array<bigint>"))
+    far = F.when(size > PLACED, F.concat(*[pieces(k) for k in PIECES])).otherwise(F.array().cast("array<bigint>"))
+    a = x.select(F.explode(F.array_distinct(own)).alias("k"), F.col("id").alias("ia"), F.col("len").alias("la"), F.col("sk").alias("sa"))
+    b = x.select(F.explode(F.array_distinct(F.concat(near, far))).alias("k"), F.col("id").alias("ib"), F.col("len").alias("lb"), F.col("sk").alias("sb"))
+    met = a.join(b, "k").where((F.col("la") < F.col("lb")) | ((F.col("la") == F.col("lb")) & (F.col("ia") < F.col("ib"))))
+    pairs = met.where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= _edits(F.col("la"), F.col("lb"))).select("ia", "ib").distinct()
+    left, right = x.select(F.col("id").alias("ia"), "type", F.col("n").alias("x")), x.select(F.col("id").alias("ib"), F.col("type").alias("_t"), F.col("n").alias("y"))
+    both = pairs.join(left, "ia").join(right, "ib").where("type = _t and x <> y")
+    return both.select("type", F.least("x", "y").alias("n1"), F.greatest("x", "y").alias("n2"))
+
+
 def name_duplicates(nodes: DataFrame, owner: str = "owner") -> DataFrame:
     """(a, b, reason): active nodes of one type, no categories, with equal names (equal), of people one name within the other
     (subset), or names alike by ratio (ratio).
 
-    Equality and subsets are joined by name and by rarest token.  Names alike in nine tenths share one of their rarest bigrams; these
-    bring candidates together instead of all pairs of a type.
+    Equality and subsets are joined by name and by rarest token.  Names alike in nine tenths share a part of the shorter one at nearly
+    the same place; these parts bring candidates together instead of all pairs of a type.
     """
     n = active(nodes).where("type <> 'category'").select("id", "type", X.integrity_name(F.col("name"), owner).alias("n")).where("n <> ''")
     a = n.select(F.col("id").alias("a"), "type", "n")
@@ -238,15 +300,7 @@ def name_duplicates(nodes: DataFrame, owner: str = "owner") -> DataFrame:
     sub = rare.select(F.col("id").alias("x"), F.col("t").alias("tx"), F.col("n").alias("nx"), "w").join(token.select(F.col("id").alias("y"), F.col("t").alias("ty"), F.col("n").alias("ny"), "w"), "w").where((F.col("x") != F.col("y")) & (F.col("nx") != F.col("ny")) & (F.size(F.array_except("tx", "ty")) == 0))
     subset = sub.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit("subset").alias("reason")).distinct()
     names = n.select("type", "n").distinct()
-    padded = F.concat(F.lit("^"), F.col("n"), F.lit("$"))
-    grams = names.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("n") + 1), lambda i: F.substring(padded, i, F.lit(2))))))
-    gf = grams.groupBy("type", "g").count()  # no more than pairs of letters
-    # Of two names alike in nine tenths with n and m letters at most (n + m) / 10 letters are outside the matching blocks, and m is n * 9 / 11 at least.
-    # A letter left out takes two bigrams of a name, one put in takes one: at most two fifths of n.  So one of the rarest n * 2 / 5 + 1 is shared.
-    ranked = grams.join(gf, ["type", "g"]).groupBy("type", "n").agg(F.array_sort(F.collect_list(F.struct("count", "g"))).alias("gs"))  # a name's own
-    pre = ranked.select("type", "n", F.explode(F.slice("gs", 1, F.floor(F.length("n") * 0.4).cast("int") + 1)).alias("x")).select("type", "n", "x.g")
-    cand = pre.select("type", "g", F.col("n").alias("n1")).join(pre.select("type", "g", F.col("n").alias("n2")), ["type", "g"]).where("n1 < n2 and 20 * least(length(n1), length(n2)) >= 9 * (length(n1) + length(n2))").select("type", "n1", "n2").distinct()
-    alike = ratio_at_least(cand, "n1", "n2")
+    alike = ratio_at_least(_alike_candidates(names), "n1", "n2")
     ratio = alike.join(a.withColumnRenamed("n", "n1"), ["type", "n1"]).join(b.withColumnRenamed("n", "n2"), ["type", "n2"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit("ratio").alias("reason"))
     every = equal.unionByName(subset).unionByName(ratio)
     return every.groupBy("a", "b").agg(F.min("reason").alias("reason"))

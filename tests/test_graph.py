@@ -1,4 +1,5 @@
 import difflib
+import random
 
 import numpy as np
 import pytest
@@ -124,6 +125,29 @@ def test_ratio_equals_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in I.name_duplicates(n).collect()} == want
 
 
+def test_names_alike_at_all_lengths(spark):
+    """Names of a common last word with letters put in, left out and changed, some of them long; few pairs are looked at, none is lost."""
+    r = random.Random(4)
+    names = set()
+    for k in range(150):
+        base = "".join(r.choice("aeioulmnrst") for _ in range(r.choice([1, 3, 6, 9, 12, 20, 28, 33, 39, 60, 110]))) + r.choice(["", " method", " slides"])
+        names.add(base)
+        for _ in range(4):
+            t = list(base)
+            for _ in range(r.randint(1, max(1, len(t) // 6))):
+                p = r.randrange(len(t) + 1)
+                if r.random() < 0.5:
+                    t.insert(p, r.choice("aeiou "))
+                elif p < len(t):
+                    del t[p]
+            names.add(" ".join("".join(t).split()))
+    names = sorted(names - {""})
+    want = {(x, y) for i, x in enumerate(names) for y in names[i + 1 :] if difflib.SequenceMatcher(None, x, y).ratio() >= 0.9}
+    got = {(x["n1"], x["n2"]) for x in I._alike_candidates(spark.createDataFrame([("event", x) for x in names], "type string, n string")).collect()}
+    assert want and want <= got and len(got) < len(want) + 0.01 * len(names) ** 2 / 2, (len(names), len(want), len(got))
+    assert I.ratio_at_least(I._alike_candidates(spark.createDataFrame([("event", x) for x in names], "type string, n string")), "n1", "n2").count() == len(want)
+
+
 def test_nearest_of_type_equals_all_pairs(spark):
     """Blocks smaller than the types; equal vectors, ties and a type with a single row."""
     r = np.random.default_rng(3)
